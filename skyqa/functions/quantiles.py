@@ -30,10 +30,14 @@ _MARGIN = 4.0 / _SKETCH_ACCURACY
 _EVEN_CUTS = [i / 32 for i in range(1, 32)]
 
 
+def _value(column: str) -> Column:
+    return finite_or_null(named(column).cast("double"))
+
+
 def to_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row per (row, column): ``keys..., metric, value``; non-finite values are NULL."""
     return df.select(
-        *[named(k) for k in keys], *[finite_or_null(named(c).cast("double")).alias(c) for c in columns]
+        *[named(k) for k in keys], *[_value(c).alias(c) for c in columns]
     ).unpivot([named(k) for k in keys], [named(c) for c in columns], "metric", "value")
 
 
@@ -57,17 +61,17 @@ def describe_columns(
         # moments combine before the exchange, whatever the size of a group
         cells = _cells_where(df, keys, columns, where)
         return cells.groupBy(*[named(g) for g in group]).agg(*_moments(), _no_quantiles(probs).alias("q"))
-    oversized = _oversized_keys(df, keys, max_group_rows)
-    if oversized is None:
-        return _describe_sorted(_cells_where(df, keys, columns, where), group, probs)
+    n_keys, n_large, sizes = _group_sizes(df, keys, max_group_rows)
+    if n_large == 0:
+        return _describe_ranked(df, keys, columns, probs, where, n_keys)
     if not keys:
         return _describe_split(_cells_where(df, keys, columns, where), group, probs, max_group_rows)
-    marked = broadcast_if_small(oversized)
-    small = _cells_where(join_on(df, marked, keys, "left_anti"), keys, columns, where)
-    large = _cells_where(join_on(df, marked, keys, "left_semi"), keys, columns, where)
-    return _describe_sorted(small, group, probs).unionByName(
-        _describe_split(large, group, probs, max_group_rows)
-    )
+    marked = broadcast_if_small(cut(sizes.where(F.col("__n") > max_group_rows).drop("__n")))
+    small, large = (join_on(df, marked, keys, how) for how in ("left_anti", "left_semi"))
+    split = _describe_split(_cells_where(large, keys, columns, where), group, probs, max_group_rows)
+    if n_large == n_keys:
+        return split
+    return _describe_ranked(small, keys, columns, probs, where, n_keys).unionByName(split)
 
 
 def quantiles(
@@ -83,14 +87,14 @@ def quantiles(
     )
 
 
-def _oversized_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None. Reads the key columns only."""
-    if not keys:
-        n = df.count()
-        return df.sparkSession.createDataFrame([(n,)], "n long") if n > limit else None
+def _group_sizes(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[int, int, DataFrame]:
+    """Number of keys, number of keys with more than ``limit`` rows, and the rows per key.
+
+    Reads the key columns only, which for a partitioned table are not even in the files.
+    """
     sizes = df.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    found = cut(sizes.where(F.col("__n") > limit).drop("__n"))
-    return None if found.isEmpty() else found
+    n_keys, n_large = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("__n") > limit)).first()
+    return n_keys, n_large, sizes
 
 
 def _cells_where(
@@ -117,7 +121,38 @@ def _moments() -> list[Column]:
     ]
 
 
-def _describe_sorted(cells: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def _describe_ranked(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    probs: Sequence[float],
+    where: Column | None,
+    n_keys: int,
+) -> DataFrame:
+    """Rank the cells of every group in one sorted window.
+
+    With many keys the rows are exchanged whole and taken apart afterwards, which moves each
+    key once instead of once per column. With few keys the cells are exchanged, so that
+    the columns of one key can be sorted by different tasks.
+    """
+    group = [*keys, "metric"]
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not keys or n_keys < 4 * partitions:
+        return _rank(_cells_where(df, keys, columns, where), group, probs)
+    ids, values = [named(k) for k in keys], [_value(c).alias(c) for c in columns]
+    rows = (df if where is None else df.where(where)).select(*ids, *values)
+    if where is not None:
+        lost = df.where(~where).select(*ids).distinct()
+        rows = rows.unionByName(lost, allowMissingColumns=True)
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("metric"), named(c).alias("value")) for i, c in enumerate(columns)]
+    )
+    ranked = _rank(rows.repartition(*ids).select(*ids, F.inline(cells)), group, probs)
+    names = F.array(*[F.lit(c) for c in columns])
+    return ranked.withColumn("metric", names[F.col("metric")])
+
+
+def _rank(cells: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
     by_group = [named(g) for g in group]
     ranked = cells.select(
         *by_group,
@@ -139,20 +174,25 @@ def _describe_split(
 ) -> DataFrame:
     """Moments by combinable aggregation and quantiles by narrowing to the wanted ranks."""
     by_group = [named(g) for g in group]
-    moments = cut(cells.groupBy(*by_group).agg(*_moments()))
+    cuts = sorted({min(max(p + side * _MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)})
+    moments = cut(cells.groupBy(*by_group).agg(*_moments(), _sketch(cuts)))
     part = [*group, "__part"]
     by_part = [named(g) for g in part]
     targets = _targets(moments, by_group, probs)
     rows = cells.where(F.col("value").isNotNull()).select(
         *by_group, F.lit(0).cast("long").alias("__part"), "value", F.lit(1).cast("long").alias("__copies")
     )
-    cuts = sorted({min(max(p + side * _MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)})
+    sketch = moments.where(F.col("count") > 0).select(
+        *by_group, F.lit(0).cast("long").alias("__part"), "__cuts"
+    )
+    moments = moments.drop("__cuts")
     while True:
-        rows, targets = _narrow(rows, targets, part, cuts)
+        rows, targets = _narrow(rows, targets, part, sketch, len(cuts))
         widest = rows.groupBy(*by_part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if widest is None or widest <= limit:
             break
         cuts = _EVEN_CUTS
+        sketch = cut(rows.groupBy(*by_part).agg(_sketch(cuts)))
 
     upto = F.sum("__copies").over(
         W.partitionBy(*by_part).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
@@ -199,17 +239,16 @@ def _targets(moments: DataFrame, by_group: Sequence[Column], probs: Sequence[flo
     )
 
 
+def _sketch(cuts: Sequence[float]) -> Column:
+    return F.percentile_approx("value", list(cuts), _SKETCH_ACCURACY).alias("__cuts")
+
+
 def _narrow(
-    rows: DataFrame, targets: DataFrame, part: Sequence[str], cuts: Sequence[float]
+    rows: DataFrame, targets: DataFrame, part: Sequence[str], sketch: DataFrame, n_cuts: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Split every part at sketched cut points and keep the chunks that hold a wanted rank."""
+    """Split every part at its cut points and keep the chunks that hold a wanted rank."""
     by_part = [named(g) for g in part]
-    sketch = cut(
-        rows.groupBy(*by_part).agg(
-            F.percentile_approx("value", list(cuts), _SKETCH_ACCURACY).alias("__cuts")
-        )
-    )
-    above = [(F.col("value") >= F.col("__cuts")[i]).cast("int") for i in range(len(cuts))]
+    above = [(F.col("value") >= F.col("__cuts")[i]).cast("int") for i in range(n_cuts)]
     # NaN never reaches this point, so the chunk number is monotone in the value
     chunked = join_on(rows, broadcast_if_small(sketch), part).withColumn(
         "__chunk", reduce(lambda a, b: a + b, above)
@@ -222,7 +261,7 @@ def _narrow(
         .agg(F.sum("__copies").alias("__n"))
         .withColumn("__before", before)
     )
-    child = (F.col("__part") * (len(cuts) + 1) + F.col("__chunk")).alias("__part")
+    child = (F.col("__part") * (n_cuts + 1) + F.col("__chunk")).alias("__part")
     columns = [named(g) for g in part[:-1]]
     placed = cut(
         join_on(targets, sizes, part).where(
