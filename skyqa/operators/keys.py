@@ -106,4 +106,5 @@ def selection_keys(
     entries = F.split(F.regexp_replace(named(text), " ", ""), ",")
     number: Column = F.explode(F.transform(entries, lambda e: e.try_cast("int"))).alias(tract)
     asked = selections.select(*[named(k) for k in keep], number).where(named(tract).isNotNull()).distinct()
-    return asked.join(active.select(named(tract)).distinct(), tract, "left_semi")
+    found = asked.join(active.select(named(tract)).distinct(), tract, "left_semi")
+    return found.select(*[named(k) for k in keep], named(tract))
