@@ -56,22 +56,18 @@ def describe_columns(
     keys still appear (with ``count = 0`` when no other row has that key).
     """
     probs = [float(p) for p in probs]
-    group = [*keys, "metric"]
     if not probs:
-        # moments combine before the exchange, whatever the size of a group
-        cells = _cells_where(df, keys, columns, where)
-        return cells.groupBy(*[named(g) for g in group]).agg(*_moments(), _no_quantiles(probs).alias("q"))
+        return _moments(df, keys, columns, where).withColumn("q", _no_quantiles(probs))
     n_keys, n_large, sizes = _group_sizes(df, keys, max_group_rows)
     if n_large == 0:
         return _describe_ranked(df, keys, columns, probs, where, n_keys)
-    if not keys:
-        return _describe_split(_cells_where(df, keys, columns, where), group, probs, max_group_rows)
+    if n_large == n_keys:
+        return _describe_split(df, keys, columns, probs, where, max_group_rows)
     marked = broadcast_if_small(cut(sizes.where(F.col("__n") > max_group_rows).drop("__n")))
     small, large = (join_on(df, marked, keys, how) for how in ("left_anti", "left_semi"))
-    split = _describe_split(_cells_where(large, keys, columns, where), group, probs, max_group_rows)
-    if n_large == n_keys:
-        return split
-    return _describe_ranked(small, keys, columns, probs, where, n_keys).unionByName(split)
+    return _describe_ranked(small, keys, columns, probs, where, n_keys).unionByName(
+        _describe_split(large, keys, columns, probs, where, max_group_rows)
+    )
 
 
 def quantiles(
@@ -97,28 +93,31 @@ def _group_sizes(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[int, i
     return n_keys, n_large, sizes
 
 
-def _cells_where(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], where: Column | None
+def _moments(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    where: Column | None,
+    cuts: Sequence[float] = (),
 ) -> DataFrame:
-    if where is None:
-        return to_cells(df, keys, columns)
-    kept = to_cells(df.where(where), keys, columns)
-    # keys that lose rows are kept alive by one NULL cell each, not by shuffling those rows
-    lost = df.where(~where).select(*[named(k) for k in keys]).distinct()
-    metrics = F.explode(F.array(*[F.lit(c) for c in columns])).alias("metric")
-    return kept.unionByName(
-        lost.select(*[named(k) for k in keys], metrics, F.lit(None).cast("double").alias("value"))
-    )
+    """``keys..., metric, count, mean, std, min, max`` and, with ``cuts``, sketched cut points.
 
-
-def _moments() -> list[Column]:
-    return [
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ]
+    One aggregate over whole rows that combines before the exchange, whatever the size of
+    a group. Keys whose rows all fail ``where`` are there with a count of 0.
+    """
+    fields = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    if cuts:
+        fields["__cuts"] = lambda v: F.percentile_approx(v, list(cuts), _SKETCH_ACCURACY)
+    ids = [named(k) for k in keys]
+    values = [_value(c) if where is None else F.when(where, _value(c)) for c in columns]
+    rows = df.select(*ids, *[v.alias(f"__v{i}") for i, v in enumerate(values)])
+    aggregates, entries = [], []
+    for i, c in enumerate(columns):
+        aggregates += [make(F.col(f"__v{i}")).alias(f"{name}|{i}") for name, make in fields.items()]
+        entries.append(
+            F.struct(F.lit(c).alias("metric"), *[F.col(f"`{name}|{i}`").alias(name) for name in fields])
+        )
+    return rows.groupBy(*ids).agg(*aggregates).select(*ids, F.inline(F.array(*entries)))
 
 
 def _describe_ranked(
@@ -135,19 +134,15 @@ def _describe_ranked(
     key once instead of once per column. With few keys the cells are exchanged, so that
     the columns of one key can be sorted by different tasks.
     """
-    group = [*keys, "metric"]
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if not keys or n_keys < 4 * partitions:
-        return _rank(_cells_where(df, keys, columns, where), group, probs)
-    ids, values = [named(k) for k in keys], [_value(c).alias(c) for c in columns]
-    rows = (df if where is None else df.where(where)).select(*ids, *values)
-    if where is not None:
-        lost = df.where(~where).select(*ids).distinct()
-        rows = rows.unionByName(lost, allowMissingColumns=True)
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("metric"), named(c).alias("value")) for i, c in enumerate(columns)]
-    )
-    ranked = _rank(rows.repartition(*ids).select(*ids, F.inline(cells)), group, probs)
+    ids = [named(k) for k in keys]
+    rows = (df if where is None else df.where(where)).select(*ids, *[_value(c).alias(c) for c in columns])
+    if keys and where is not None:
+        # one row without values per key keeps the keys that have no row left
+        rows = rows.unionByName(df.select(*ids).distinct(), allowMissingColumns=True)
+    if n_keys >= 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(*ids)
+    cells = [F.struct(F.lit(i).alias("metric"), named(c).alias("value")) for i, c in enumerate(columns)]
+    ranked = _rank(rows.select(*ids, F.inline(F.array(*cells))), [*keys, "metric"], probs)
     names = F.array(*[F.lit(c) for c in columns])
     return ranked.withColumn("metric", names[F.col("metric")])
 
@@ -166,16 +161,30 @@ def _rank(cells: DataFrame, group: Sequence[str], probs: Sequence[float]) -> Dat
         gap = F.abs(F.col("__at") - F.lit(p) * (F.col("__n") - 1))
         return F.sum(F.when(gap < 1, F.col("value") * (1 - gap)))
 
-    return ranked.groupBy(*by_group).agg(*_moments(), F.array(*[quantile(p) for p in probs]).alias("q"))
+    return ranked.groupBy(*by_group).agg(
+        F.count("value").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.array(*[quantile(p) for p in probs]).alias("q"),
+    )
 
 
 def _describe_split(
-    cells: DataFrame, group: Sequence[str], probs: Sequence[float], limit: int
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    probs: Sequence[float],
+    where: Column | None,
+    limit: int,
 ) -> DataFrame:
     """Moments by combinable aggregation and quantiles by narrowing to the wanted ranks."""
+    group = [*keys, "metric"]
     by_group = [named(g) for g in group]
     cuts = sorted({min(max(p + side * _MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)})
-    moments = cut(cells.groupBy(*by_group).agg(*_moments(), _sketch(cuts)))
+    moments = cut(_moments(df, keys, columns, where, cuts))
+    cells = to_cells(df if where is None else df.where(where), keys, columns)
     part = [*group, "__part"]
     by_part = [named(g) for g in part]
     targets = _targets(moments, by_group, probs)
@@ -192,7 +201,11 @@ def _describe_split(
         if widest is None or widest <= limit:
             break
         cuts = _EVEN_CUTS
-        sketch = cut(rows.groupBy(*by_part).agg(_sketch(cuts)))
+        sketch = cut(
+            rows.groupBy(*by_part).agg(
+                F.percentile_approx("value", cuts, _SKETCH_ACCURACY).alias("__cuts")
+            )
+        )
 
     upto = F.sum("__copies").over(
         W.partitionBy(*by_part).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
@@ -239,10 +252,6 @@ def _targets(moments: DataFrame, by_group: Sequence[Column], probs: Sequence[flo
     )
 
 
-def _sketch(cuts: Sequence[float]) -> Column:
-    return F.percentile_approx("value", list(cuts), _SKETCH_ACCURACY).alias("__cuts")
-
-
 def _narrow(
     rows: DataFrame, targets: DataFrame, part: Sequence[str], sketch: DataFrame, n_cuts: int
 ) -> tuple[DataFrame, DataFrame]:

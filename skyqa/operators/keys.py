@@ -35,7 +35,8 @@ def enumerate_keys(
 
 def existing_keys(keys: DataFrame, available: DataFrame, on: Sequence[str]) -> DataFrame:
     """The keys for which data exists."""
-    return join_on(keys, available.select(*[named(k) for k in on]), on, "left_semi")
+    # distinct first: one row per key goes into the join, not one per object
+    return join_on(keys, available.select(*[named(k) for k in on]).distinct(), on, "left_semi")
 
 
 def key_chunks(keys: DataFrame, by: str, chunk_size: int) -> DataFrame:
@@ -61,11 +62,17 @@ def keys_by_chunk(keys: DataFrame, by: str, key: str, chunk_size: int) -> DataFr
     )
 
 
+def _number(text: Column) -> Column:
+    """Integer of a text, NULL if it is none. The pattern goes first because a cast that
+    fails costs an exception per row."""
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))
+
+
 def tracts_from_paths(paths: DataFrame, path: str = "path", tract: str = "tract") -> DataFrame:
     """Distinct tract numbers: the digits after the last dash of a name that says ``tract``."""
     name = F.regexp_extract(named(path), r"([^/]*tract[^/]*)", 1)
-    number = F.regexp_extract(name, r"-?([0-9]+)(?:\.[^.]*)?$", 1)
-    return paths.select(number.try_cast("int").alias(tract)).where(named(tract).isNotNull()).distinct()
+    number = _number(F.regexp_extract(name, r"-?([0-9]+)(?:\.[^.]*)?$", 1))
+    return paths.select(number.alias(tract)).where(named(tract).isNotNull()).distinct()
 
 
 def filters_from_paths(
@@ -103,8 +110,9 @@ def selection_keys(
     Works on a table of saved selections; blanks and entries that are no number are
     dropped. ``keep`` names columns that identify a selection.
     """
-    entries = F.split(F.regexp_replace(named(text), " ", ""), ",")
-    number: Column = F.explode(F.transform(entries, lambda e: e.try_cast("int"))).alias(tract)
-    asked = selections.select(*[named(k) for k in keep], number).where(named(tract).isNotNull()).distinct()
+    entries = F.explode(F.split(F.replace(named(text), F.lit(" "), F.lit("")), ",")).alias("__entry")
+    number = _number(F.col("__entry")).alias(tract)
+    numbers = selections.select(*[named(k) for k in keep], entries).select(*[named(k) for k in keep], number)
+    asked = numbers.where(named(tract).isNotNull()).distinct()
     found = asked.join(active.select(named(tract)).distinct(), tract, "left_semi")
     return found.select(*[named(k) for k in keep], named(tract))

@@ -93,8 +93,11 @@ def neighbours(
     wide = reach * (1 + _SLACK) + 1e-15
     touched = lefts
     for name, axis in zip(_CUBE, "xyz", strict=True):
-        low, high = ((F.col(axis) + side * wide) / F.lit(size) for side in (-1, 1))
-        touched = touched.withColumn(name, F.explode(F.sequence(F.floor(low), F.floor(high))))
+        # a cube is wider than the search sphere, so it touches one cube or two
+        low, high = (F.floor((F.col(axis) + side * wide) / F.lit(size)) for side in (-1, 1))
+        touched = touched.withColumn(
+            name, F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high)))
+        )
 
     crowded = cut(rights.groupBy(*_CUBE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf).drop("n"))
     if crowded.isEmpty():
