@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from skyqa.functions.clean import finite_or_null, named
 from skyqa.functions.frames import broadcast_if_small, cut, join_on
 
-MAX_GROUP_ROWS = 4_000_000
+#: Rows of one key that a single task may rank.
+MAX_GROUP_ROWS = 1_000_000
 
 _SKETCH_ACCURACY = 10_000
 _MARGIN = 4.0 / _SKETCH_ACCURACY

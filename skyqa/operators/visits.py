@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyqa.functions.clean import finite_or_null, named
 from skyqa.functions.frames import broadcast_if_small, cut, join_on
-from skyqa.functions.quantiles import MAX_GROUP_ROWS, describe_columns, quantiles, to_cells
+from skyqa.functions.quantiles import MAX_GROUP_ROWS, describe_columns, quantiles
 
 
 def visit_series(
@@ -163,30 +163,47 @@ def visit_box_whisker(
 
     Whiskers end at the furthest values within 1.5 interquartile ranges of the box.
     """
-    keys = [visit_name]
+    keys, visit = [visit_name], named(visit_name)
     box = cut(
         quantiles(df, keys, metrics, (0.25, 0.5, 0.75), max_group_rows)
         .where(F.col("q")[0].isNotNull())
         .select(
-            named(visit_name),
+            visit,
             "metric",
             F.col("q")[0].alias("q1"),
             F.col("q")[1].alias("median"),
             F.col("q")[2].alias("q3"),
         )
     )
+    # one row of limits per visit, so that the table is joined and aggregated in whole rows
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    cells = to_cells(df, keys, metrics).where(F.col("value").isNotNull())
-    group = [*keys, "metric"]
-    ends = (
-        join_on(cells, broadcast_if_small(box), group)
-        .groupBy(*[named(g) for g in group])
-        .agg(
-            F.min(F.when(inside, F.col("value"))).alias("lower"),
-            F.max(F.when(inside, F.col("value"))).alias("upper"),
-            F.count_if(~inside).alias("n_outliers"),
-            F.count(F.lit(1)).alias("n"),
+    bounds = {"lo": F.col("q1") - reach, "hi": F.col("q3") + reach}
+    limits = box.groupBy(visit).agg(
+        *[
+            F.max(F.when(F.col("metric") == m, bound)).alias(f"__{name}{i}")
+            for i, m in enumerate(metrics)
+            for name, bound in bounds.items()
+        ]
+    )
+    values = [finite_or_null(named(m).cast("double")).alias(f"__v{i}") for i, m in enumerate(metrics)]
+    aggregates, entries = [], []
+    for i, m in enumerate(metrics):
+        value = F.col(f"__v{i}")
+        inside = value.between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
+        ends = {
+            "lower": F.min(F.when(inside, value)),
+            "upper": F.max(F.when(inside, value)),
+            "n_outliers": F.count_if(~inside),
+            "n": F.count(value),
+        }
+        aggregates += [a.alias(f"__{name}{i}") for name, a in ends.items()]
+        entries.append(
+            F.struct(F.lit(m).alias("metric"), *[F.col(f"__{name}{i}").alias(name) for name in ends])
         )
+    found = (
+        join_on(df.select(visit, *values), broadcast_if_small(limits), keys)
+        .groupBy(visit)
+        .agg(*aggregates)
+        .select(visit, F.inline(F.array(*entries)))
     )
-    return join_on(box, ends, group)
+    return join_on(box, found, [*keys, "metric"])
