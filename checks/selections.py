@@ -176,7 +176,7 @@ def _(spark, sf):
     with_ctes(
         f"""select {r('ra')}, {r('dec')}, {r('metric_a')}, {r('metric_b')}, {r('mag')}, patch, tract
         from (select *, -"psfMag" as mag from nrm) t
-        where band = 'N' and mag >= 0 and mag < 11 and flag_used""",
+        where band = 'N' and mag >= 0 and mag < 11 and flag_used and {_COMPLETE}""",
         "nrm",
     ),
 )

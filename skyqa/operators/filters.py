@@ -55,9 +55,10 @@ class FilterState:
     bad_flags: tuple[str, ...] = ()
 
     def predicate(self) -> Column:
-        """Everything as one condition. A flag in both lists must not be set."""
+        """Everything as one condition. A flag in both lists must not be set, and a flag
+        state goes before a range of the same column."""
         flags = {**dict.fromkeys(self.flags, True), **dict.fromkeys(self.bad_flags, False)}
-        tests = [in_range(c, lo, hi) for c, (lo, hi) in self.ranges.items()]
+        tests = [in_range(c, lo, hi) for c, (lo, hi) in self.ranges.items() if c not in flags]
         tests += [named(f) if state else ~named(f) for f, state in flags.items()]
         return _all_of(tests)
 
@@ -150,13 +151,18 @@ def sky_points(
     ids: Sequence[str] = ("patch", "tract"),
     label_name: str = "label",
     position: tuple[str, str] = ("ra", "dec"),
+    complete: bool = True,
 ) -> DataFrame:
-    """Points of one class with ``0 <= mag < max_mag``: position, values, magnitude and ids."""
+    """Points of one class with ``0 <= mag < max_mag``: position, values, magnitude and ids.
+
+    Only rows with a value in every column take part, unless ``complete`` is off.
+    """
     where = in_range(mag, 0.0, max_mag) & (named(label_name) == F.lit(label))
     if state is not None:
         where = where & state.predicate()
     wanted = dict.fromkeys([*position, *values, mag, *[i for i in ids if i in df.columns]])
-    return df.where(where).select(*[named(c) for c in wanted])
+    rows = complete_cases(df) if complete else df
+    return rows.where(where).select(*[named(c) for c in wanted])
 
 
 def query_filter(

@@ -70,8 +70,8 @@ def _number(text: Column) -> Column:
 
 def tracts_from_paths(paths: DataFrame, path: str = "path", tract: str = "tract") -> DataFrame:
     """Distinct tract numbers: the digits after the last dash of a name that says ``tract``."""
-    name = F.regexp_extract(named(path), r"([^/]*tract[^/]*)", 1)
-    number = _number(F.regexp_extract(name, r"-?([0-9]+)(?:\.[^.]*)?$", 1))
+    digits = F.regexp_extract(named(path), r"tract[^/]*-([0-9]+)(?:\.[^/]*)?(?:/|$)", 1)
+    number = F.when(F.contains(named(path), F.lit("tract")), _number(digits))
     return paths.select(number.alias(tract)).where(named(tract).isNotNull()).distinct()
 
 

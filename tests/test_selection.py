@@ -50,6 +50,7 @@ def test_bad_flags_win(points):
     both = FilterState(flags=("used", "bad"), bad_flags=("bad",))
     assert state_filter(points, both).count() == 3
     assert state_filter(points, FilterState(flags=("used", "bad"))).count() == 1
+    assert state_filter(points, FilterState({"used": (5, 6)}, flags=("used",))).count() == 4
 
 
 def test_box_replaces_and_keeps(points):
@@ -89,7 +90,9 @@ def test_visits_long_reports_missing(points):
 
 def test_sky_points(points):
     got = sky_points(points, ["y"], 10.0, "r", "x", FilterState(bad_flags=("bad",)), label_name="filter", position=("x", "y"))
-    assert got.columns == ["x", "y", "tract"] and got.count() == 2
+    assert got.columns == ["x", "y", "tract"] and got.count() == 1
+    every = sky_points(points, ["y"], 10.0, "r", "x", label_name="filter", position=("x", "y"), complete=False)
+    assert every.count() == 3
 
 
 def test_stats_slice(points):
