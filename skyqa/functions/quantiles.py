@@ -3,6 +3,7 @@
 ``percentile`` keeps the distinct values of a group in one task's memory. A key that
 holds a third of a large table would not fit there, so groups are split by size first:
 
+* if every group is small, each becomes a sorted array per column, which is fastest;
 * ordinary groups are ranked by one sorted window. The sort spills, there is one
   exchange, and the moments ride along in the same aggregate;
 * groups above ``max_group_rows`` are never brought together. A mergeable sketch
@@ -26,6 +27,10 @@ from skyqa.functions.frames import broadcast_if_small, cut, join_on
 #: Rows of one key that a single task may rank.
 MAX_GROUP_ROWS = 1_000_000
 
+#: Values (rows times columns) of one key that may be held as arrays. Spark holds the arrays
+#: of up to 128 keys before it sorts instead, so this bounds the memory of a task.
+ARRAY_CELLS = 200_000
+
 _SKETCH_ACCURACY = 10_000
 _MARGIN = 4.0 / _SKETCH_ACCURACY
 _EVEN_CUTS = [i / 32 for i in range(1, 32)]
@@ -49,6 +54,7 @@ def describe_columns(
     probs: Sequence[float],
     where: Column | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
+    array_cells: int = ARRAY_CELLS,
 ) -> DataFrame:
     """Count, mean, sample std, min, max and exact linear quantiles per key and column.
 
@@ -59,7 +65,9 @@ def describe_columns(
     probs = [float(p) for p in probs]
     if not probs:
         return _moments(df, keys, columns, where).withColumn("q", _no_quantiles(probs))
-    n_keys, n_large, sizes = _group_sizes(df, keys, max_group_rows)
+    n_keys, n_large, widest, sizes = _group_sizes(df, keys, max_group_rows)
+    if widest * len(columns) <= array_cells and widest <= max_group_rows:
+        return _describe_arrays(df, keys, columns, probs, where)
     if n_large == 0:
         return _describe_ranked(df, keys, columns, probs, where, n_keys)
     if n_large == n_keys:
@@ -84,14 +92,17 @@ def quantiles(
     )
 
 
-def _group_sizes(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[int, int, DataFrame]:
-    """Number of keys, number of keys with more than ``limit`` rows, and the rows per key.
+def _group_sizes(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[int, int, int, DataFrame]:
+    """Number of keys, number of keys with more than ``limit`` rows, most rows of a key, and
+    the rows per key.
 
     Reads the key columns only, which for a partitioned table are not even in the files.
     """
     sizes = df.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    n_keys, n_large = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("__n") > limit)).first()
-    return n_keys, n_large, sizes
+    n_keys, n_large, widest = sizes.agg(
+        F.count(F.lit(1)), F.count_if(F.col("__n") > limit), F.coalesce(F.max("__n"), F.lit(0))
+    ).first()
+    return n_keys, n_large, widest, sizes
 
 
 def _moments(
@@ -121,6 +132,60 @@ def _moments(
     return rows.groupBy(*ids).agg(*aggregates).select(*ids, F.inline(F.array(*entries)))
 
 
+def _complete_rows(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], where: Column | None
+) -> DataFrame:
+    """Keys and clean values of the rows that count, and one row without values per key,
+    which keeps the keys that have no row left."""
+    ids = [named(k) for k in keys]
+    rows = (df if where is None else df.where(where)).select(*ids, *[_value(c).alias(c) for c in columns])
+    if keys and where is not None:
+        rows = rows.unionByName(df.select(*ids).distinct(), allowMissingColumns=True)
+    return rows
+
+
+def _describe_arrays(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], where: Column | None
+) -> DataFrame:
+    """Exchange whole rows once, sort every column of a key as an array and pick positions."""
+    ids = [named(k) for k in keys]
+    rows = _complete_rows(df, keys, columns, where)
+    aggregates, entries = [], []
+    for i, c in enumerate(columns):
+        aggregates += [
+            F.collect_list(named(c)).alias(f"__v{i}"),
+            F.avg(named(c)).alias(f"__mean{i}"),
+            F.stddev_samp(named(c)).alias(f"__std{i}"),
+        ]
+        entries.append(
+            F.struct(
+                F.lit(c).alias("metric"),
+                F.sort_array(F.col(f"__v{i}")).alias("v"),
+                F.col(f"__mean{i}").alias("mean"),
+                F.col(f"__std{i}").alias("std"),
+            )
+        )
+    grouped = (rows.repartition(*ids) if keys else rows).groupBy(*ids).agg(*aggregates)
+    n = F.size("v").cast("long")
+
+    def quantile(p: float) -> Column:
+        at = F.lit(p) * (n - 1)
+        low = F.floor(at).cast("int")
+        here, after = F.get("v", low), F.get("v", low + 1)
+        return here + F.coalesce((after - here) * (at - low), F.lit(0.0))
+
+    return grouped.select(*ids, F.inline(F.array(*entries))).select(
+        *ids,
+        "metric",
+        n.alias("count"),
+        "mean",
+        "std",
+        F.get("v", F.lit(0)).alias("min"),
+        F.get("v", F.size("v") - 1).alias("max"),
+        F.array(*[quantile(p) for p in probs]).alias("q"),
+    )
+
+
 def _describe_ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -136,10 +201,7 @@ def _describe_ranked(
     the columns of one key can be sorted by different tasks.
     """
     ids = [named(k) for k in keys]
-    rows = (df if where is None else df.where(where)).select(*ids, *[_value(c).alias(c) for c in columns])
-    if keys and where is not None:
-        # one row without values per key keeps the keys that have no row left
-        rows = rows.unionByName(df.select(*ids).distinct(), allowMissingColumns=True)
+    rows = _complete_rows(df, keys, columns, where)
     if n_keys >= 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         rows = rows.repartition(*ids)
     cells = [F.struct(F.lit(i).alias("metric"), named(c).alias("value")) for i, c in enumerate(columns)]

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from skyqa.functions.quantiles import describe_columns, quantiles
+from skyqa.functions.quantiles import ARRAY_CELLS, describe_columns, quantiles
 from skyqa.operators.stats import (
     PERCENTILES,
     colour_range,
@@ -29,8 +29,8 @@ def wanted(pdf, keys, columns):
     return rows
 
 
-def check(df, pdf, keys, columns, limit):
-    got = describe_columns(df, keys, columns, PROBS, max_group_rows=limit).collect()
+def check(df, pdf, keys, columns, limit, cells=ARRAY_CELLS):
+    got = describe_columns(df, keys, columns, PROBS, max_group_rows=limit, array_cells=cells).collect()
     want = wanted(pdf, keys, columns)
     assert len(got) == len(want)
     for r in got:
@@ -40,8 +40,9 @@ def check(df, pdf, keys, columns, limit):
             assert (a is None and b is None) or a == pytest.approx(b, rel=1e-12, abs=1e-12)
 
 
-@pytest.mark.parametrize("limit", [10**6, 400, 7])
-def test_grouped_against_pandas(spark, limit):
+# arrays; the sorted window; some groups split; all groups split
+@pytest.mark.parametrize(("limit", "cells"), [(10**6, 10**6), (10**6, 0), (400, 0), (7, 0)])
+def test_grouped_against_pandas(spark, limit, cells):
     rng = np.random.default_rng(0)
     n = 3000
     pdf = pd.DataFrame(
@@ -59,17 +60,18 @@ def test_grouped_against_pandas(spark, limit):
     pdf.loc[5, "heavy_tail"] = np.inf
     columns = [c for c in pdf.columns if c != "k"]
     df = spark.createDataFrame(pdf).repartition(6)
-    check(df, pdf, ["k"], columns, limit)
-    check(df, pdf, [], columns, limit)
+    check(df, pdf, ["k"], columns, limit, cells)
+    check(df, pdf, [], columns, limit, cells)
 
 
 def test_many_keys_take_the_whole_row_exchange(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"k": rng.integers(0, 200, 2000), "a": rng.normal(size=2000), "b": rng.integers(0, 5, 2000)})
     df = spark.createDataFrame(pdf)
-    check(df, pdf, ["k"], ["a", "b"], 10**6)
-    plan = describe_columns(df, ["k"], ["a", "b"], PROBS)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    for cells in (0, ARRAY_CELLS):
+        check(df, pdf, ["k"], ["a", "b"], 10**6, cells)
+        made = describe_columns(df, ["k"], ["a", "b"], PROBS, array_cells=cells)
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
