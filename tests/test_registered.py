@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.catalogue import KEYS, VALUES, catalogue, first_cat, second_cat
+from checks.registry import QUERIES, SQL
 from skyqa.operators.filters import FilterState
 from skyqa.operators.match import neighbours
 from skyqa.operators.raster import Axis, sky_raster
@@ -29,10 +30,10 @@ def scan_of(df):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL) and set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, small, duck, name):
     df = entry.queries()[name](spark, small)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
