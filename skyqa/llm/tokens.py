@@ -17,7 +17,7 @@ import pyarrow as pa
 from skyqa.llm.words import SPACED, hash_ranges, text_blocks
 
 #: Distinct pieces that a task remembers; then it forgets all and begins again.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 
 _LETTER, _DIGIT, _SIGN = 1, 2, 3
 _KIND = np.full(256, _SIGN, np.uint8)

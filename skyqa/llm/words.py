@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are taken as one block; a longer text is a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
