@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyqa.functions.frames import cut, scratch_path
+from skyqa.functions.frames import broadcast_if_small, cut, scratch_path
 from skyqa.llm.components import components
 from skyqa.llm.words import SPACED, as_long, find_words, grams, mix, same_text, text_blocks
 
@@ -227,10 +227,10 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
                 columns = (as_long(sig), node[of], n[of], pair)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "n", "pair"])
 
-    path = scratch_path(spark, "signed")
-    known.select("text").mapInArrow(sign, "sig long, node long, n int, pair boolean").write.parquet(f"{path}/all")
-    signed = spark.read.parquet(f"{path}/all")
-    # a list of pairs of frequent tokens may be long: its rows are thinned and joined, which can be split
+    signed = known.select("text").mapInArrow(sign, "sig long, node long, n int, pair boolean")
+    # a list of pairs of frequent tokens may be long: its rows are thinned and joined, which can be split. Signing twice
+    # costs less than keeping all signatures
+    path = scratch_path(spark, "lists")
     lists = Window.partitionBy("sig")
     hub = F.min(F.struct("node", "n"))
     singles = (
@@ -238,41 +238,34 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
         .withColumn("hub", hub.over(lists))
         .withColumn("other", F.max("node").over(lists))
         .where("hub.node < other")
-        .select("sig", "node", "n", "hub")
     )
-    singles.write.parquet(f"{path}/singles")
     rows = signed.where("pair").select("sig", "node", "n").distinct()
     heads = rows.groupBy("sig").agg(hub.alias("hub"), F.max("node").alias("other")).where("hub.node < other")
-    rows.join(heads.drop("other"), "sig").write.parquet(f"{path}/pairs")
-    shared = spark.read.parquet(f"{path}/singles").unionByName(spark.read.parquet(f"{path}/pairs")).distinct()
-
-    first_pairs = _fitting(
-        shared.where("node <> hub.node").select(
-            F.col("hub.node").alias("a"), F.col("hub.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")
-        ),
-        percent,
-    )
-    first_pairs = cut(first_pairs.distinct())
+    for kind, found in (("singles", singles), ("pairs", rows.join(heads, "sig"))):
+        row = ("sig", F.col("hub.node").alias("a"), F.col("hub.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n"))
+        found.select(*row).write.option("compression", "zstd").parquet(f"{path}/{kind}")
+    shared = spark.read.parquet(f"{path}/singles").unionByName(spark.read.parquet(f"{path}/pairs"))
+
+    near = cut(shared.where("a <> b").select("a", "a_n", "b", "b_n").distinct())
     holders = sets.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    links = cut(_verify(first_pairs, known, holders, percent, size))
+    links = cut(_verify(_fitting(near, percent), known, holders, percent, size))
     found = cut(components(links))
 
-    # lists whose members are in several components: their other pairs across components
-    placed = (
-        shared.select("sig", "node", "n")
-        .join(found, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_rows = placed.join(mixed.select("sig"), "sig")
-    other = open_rows.select("sig", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component")))
-    more = _fitting(
-        open_rows.join(other, "sig")
+    # a list whose members all link with its first is done; of the others, the pairs across components
+    apart = broadcast_if_small(cut(near.select("a", "b").join(links, ["a", "b"], "left_anti")))
+    open_lists = broadcast_if_small(cut(shared.join(apart, ["a", "b"]).select("sig").distinct()))
+    members = shared.join(open_lists, "sig", "left_semi").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
+    members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = cut(members)
+    spread = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    members = members.join(spread.select("sig"), "sig")
+    other = members.select("sig", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component")))
+    more = (
+        members.join(other, "sig")
         .where("node < b_node and component <> b_component")
-        .select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("b_node").alias("b"), "b_n"),
-        percent,
-    ).distinct()
-    more = cut(more.join(first_pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        .select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("b_node").alias("b"), "b_n")
+    )
+    more = cut(_fitting(more, percent).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = cut(links.unionByName(_verify(more, known, holders, percent, size)))
         found = cut(components(links))
