@@ -2,7 +2,7 @@
 
 A document is cut into fragments: runs of consecutive windows (``window`` words each) that have the same anchor, the
 smallest hash among the window's short word runs. Equal windows have equal anchors, so a shard of all fragments of an
-anchor answers for them. Anchors of one document only are left out. Each shard's distinct fragments are indexed
+anchor answers for them. Anchors of one row only are left out. Each shard's distinct fragments are indexed
 (:mod:`fm_index`); the fragments are streamed through the index, and backward search gives for each window the smallest
 doc_id it starts in. Windows of an earlier document are reported as intervals of words.
 
@@ -108,17 +108,19 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
                 words = find_words(data, offsets, SPACED)
                 where, low = _window_anchors(words, window, anchor)
                 first, _ = _runs(words, where, low)
-                doc = words.doc[where[first]] if len(first) else first
-                owner = pa.array(at + doc)
+                code, doc = (as_long(low)[first], words.doc[where[first]]) if len(first) else (first, first)
+                order = np.lexsort((code, doc))  # each anchor of a text once
+                code, doc = code[order], doc[order]
+                new = np.ones(len(code), bool)
+                new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(low)[first] if len(first) else first), batch.column(1).take(owner), batch.column(0).take(owner)],
-                    ["anchor", "doc_id", "row"],
+                    [pa.array(code[new]), batch.column(0).take(pa.array(at + doc[new]))], ["anchor", "row"]
                 )
 
-    seen = texts.mapInArrow(anchors, "anchor long, doc_id long, row long")
+    seen = texts.mapInArrow(anchors, "anchor long, row long")
     path = scratch_path(spark, "anchors")
-    repeated = seen.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
-    repeated.where("lo < hi").select("anchor", (F.col("n") >= COMMON).alias("common")).write.parquet(path)
+    repeated = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    repeated.where("n > 1").select("anchor", (F.col("n") >= COMMON).alias("common")).write.parquet(path)
     repeated = spark.read.parquet(path)
     # per row its repeated anchors: at most as many as it has words
     wanted = seen.select("anchor", "row").join(repeated, "anchor").groupBy("row").agg(
@@ -130,7 +132,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
         F.transform(F.filter("kept", lambda x: x["common"]), lambda x: x["anchor"]).alias("common"),
     )
     path = scratch_path(spark, "routed")
-    texts.dropDuplicates(["row"]).join(wanted, "row").write.parquet(path)
+    texts.dropDuplicates(["row"]).join(wanted, "row").write.option("compression", "zstd").parquet(path)
     routed = spark.read.parquet(path).select("row", "doc_id", "text", "kept", "common")
 
     def cut(with_text: bool):
@@ -159,7 +161,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("key").alias("key"), F.min("words").alias("words")
     )
     path = scratch_path(spark, "fragments")
-    distinct.write.parquet(path)
+    distinct.write.option("compression", "zstd").parquet(path)
     distinct = spark.read.parquet(path)
     size = distinct.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(1, -(-size // (6 * SHARD_WORDS)))
