@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyqa.functions.frames import broadcast_if_small, cut, scratch_path
+from skyqa.functions.frames import BROADCAST_ROWS, broadcast_if_small, cut, scratch_path
 from skyqa.llm.components import components
 from skyqa.llm.words import SPACED, as_long, find_words, grams, mix, same_text, text_blocks
 
@@ -31,6 +31,8 @@ SHINGLE, PERCENT = 5, 80
 FREQUENT, FREQUENT_TOKENS = 16, 1 << 19
 #: Tokens of one task of the counting stage, and members of a list that are verified in one group.
 COUNTED, VERIFIED = 4_000_000, 256
+#: How often members of open lists are compared with one more of them before all pairs are.
+TURNS = 6
 #: Share of each set's first tokens (by hash) that are counted; prefixes lie among them unless most are frequent.
 _COUNTED_SHARE = 0.4
 
@@ -251,24 +253,43 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     links = cut(_verify(_fitting(near, percent), known, holders, percent, size))
     found = cut(components(links))
 
-    # a list whose members all link with its first is done; of the others, the pairs across components
+    # a list whose members all link with its first is done; in the others, members are compared with another one of the
+    # list in turn while that spares work, and at last all pairs across components
     apart = broadcast_if_small(cut(near.select("a", "b").join(links, ["a", "b"], "left_anti")))
     open_lists = broadcast_if_small(cut(shared.join(apart, ["a", "b"]).select("sig").distinct()))
-    members = shared.join(open_lists, "sig", "left_semi").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
-    members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = cut(members)
-    spread = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    members = members.join(spread.select("sig"), "sig")
-    other = members.select("sig", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component")))
-    more = (
-        members.join(other, "sig")
-        .where("node < b_node and component <> b_component")
-        .select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("b_node").alias("b"), "b_n")
+    members = cut(
+        shared.join(open_lists, "sig", "left_semi").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
     )
-    more = cut(_fitting(more, percent).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = cut(links.unionByName(_verify(more, known, holders, percent, size)))
-        found = cut(components(links))
+    tried = near.select("a", "b")
+    for turn in range(TURNS + 1):
+        placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = placed.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside")).where("n * n > inside")
+        parts = cut(parts)
+        rows, pairs = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()
+        if not rows:
+            break
+        placed = cut(placed.join(parts.select("sig"), "sig"))
+        if turn < TURNS and pairs > 2 * rows:
+            one = placed.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")).alias("one"))
+            one = one.select("sig", *(F.col(f"one.{c}").alias(f"b_{c}") for c in ("node", "n", "component")))
+        else:
+            one, turn = placed.select("sig", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component"))), TURNS
+        more = (
+            placed.join(one, "sig")
+            .where("node <> b_node and component <> b_component")
+            .select(
+                F.least("node", "b_node").alias("a"), F.when(F.col("node") < F.col("b_node"), F.col("n")).otherwise(F.col("b_n")).alias("a_n"),
+                F.greatest("node", "b_node").alias("b"), F.when(F.col("node") < F.col("b_node"), F.col("b_n")).otherwise(F.col("n")).alias("b_n"),
+            )
+        )
+        more = cut(_fitting(more, percent).distinct().join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            tried = cut(tried.unionByName(more))
+            links = cut(links.unionByName(_verify(more, known, holders, percent, size)))
+            found = cut(components(links))
+        if turn == TURNS:
+            break
 
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = degree.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
@@ -302,6 +323,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, holders: DataFrame, percent: int
     members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("node"))
     seats = heads.unionByName(members).join(holders, "node")
     seats = seats.groupBy("doc_id", "node").agg(F.collect_list(F.struct("a", "part")).alias("seats"))  # per text
+    seats = cut(seats)
+    if seats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then the other texts stay where they are
+        texts = texts.join(F.broadcast(seats.select("doc_id").distinct()), "doc_id", "left_semi")
     sent = (
         texts.join(seats, "doc_id")
         .select("node", "text", F.explode("seats").alias("seat"))
