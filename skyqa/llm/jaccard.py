@@ -31,8 +31,8 @@ SHINGLE, PERCENT = 5, 80
 FREQUENT, FREQUENT_TOKENS = 16, 1 << 19
 #: Tokens of one task of the counting stage, and members of a list that are verified in one group.
 COUNTED, VERIFIED = 4_000_000, 256
-#: How often members of open lists are compared with one more of them before all pairs are.
-TURNS = 6
+#: Columns of 64 bits that say which hash cells a set's tokens fill: a cell filled in one set only is a token missing.
+_WORDS = [f"w{i}" for i in range(8)]
 #: Share of each set's first tokens (by hash) that are counted; prefixes lie among them unless most are frequent.
 _COUNTED_SHARE = 0.4
 
@@ -64,6 +64,16 @@ def _nodes(token: np.ndarray, first: np.ndarray) -> np.ndarray:
     return as_long(mix((total[first[1:]] - total[first[:-1]]) ^ np.diff(first).astype(np.uint64)))
 
 
+def _bitmaps(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each set, which of the cells its tokens fall into, 64 to a word."""
+    cells = 64 * len(_WORDS)
+    cell = (mix(token ^ np.uint64(0x7FEB352D)) >> np.uint64(40)).astype(np.int64) % cells
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    filled = np.zeros((len(first) - 1) * cells, bool)
+    filled[doc * cells + cell] = True
+    return np.packbits(filled, bitorder="little").view("<i8").reshape(-1, len(_WORDS))
+
+
 def missing(n: np.ndarray | int, percent: int = PERCENT):
     """How many of its ``n`` tokens a set can miss in a similar one."""
     return n - -(-n * percent // 100)
@@ -208,13 +218,20 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
         for batch in batches:
             for at, to, data, offsets in text_blocks(batch.column(1)):
                 token, first = shingle_sets(data, offsets, size)
+                bits = _bitmaps(token, first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(np.diff(first)), pa.array(_nodes(token, first))],
-                    ["doc_id", "n_shingles", "node"],
+                    [
+                        batch.column(0).slice(at, to - at),
+                        pa.array(np.diff(first)),
+                        pa.array(_nodes(token, first)),
+                        *(pa.array(bits[:, i]) for i in range(len(_WORDS))),
+                    ],
+                    ["doc_id", "n_shingles", "node", *_WORDS],
                 )
 
     path = scratch_path(spark, "sets")
-    texts.mapInArrow(name, "doc_id long, n_shingles long, node long").write.parquet(path)
+    schema = ", ".join(["doc_id long, n_shingles long, node long", *(f"{w} long" for w in _WORDS)])
+    texts.mapInArrow(name, schema).write.parquet(path)
     sets = spark.read.parquet(path)
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     known = texts.where("doc_id is not null")
@@ -249,51 +266,42 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     shared = spark.read.parquet(f"{path}/singles").unionByName(spark.read.parquet(f"{path}/pairs"))
 
     near = cut(shared.where("a <> b").select("a", "a_n", "b", "b_n").distinct())
-    holders = sets.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    links = cut(_verify(_fitting(near, percent), known, holders, percent, size))
+    holders = sets.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), *(F.max(w).alias(w) for w in _WORDS)
+    )
+    links = cut(_verify(_fitting(near, percent), known, holders.select("node", "doc_id"), percent, size))
     found = cut(components(links))
 
-    # a list whose members all link with its first is done; in the others, members are compared with another one of the
-    # list in turn while that spares work, and at last all pairs across components
+    # a list whose members all link with its first is done; in the others all pairs across components are compared,
+    # but for those whose bitmaps show that too many tokens differ
     apart = broadcast_if_small(cut(near.select("a", "b").join(links, ["a", "b"], "left_anti")))
     open_lists = broadcast_if_small(cut(shared.join(apart, ["a", "b"]).select("sig").distinct()))
-    members = cut(
-        shared.join(open_lists, "sig", "left_semi").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
+    members = shared.join(open_lists, "sig", "left_semi").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
+    members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = cut(members.join(holders.drop("doc_id"), "node"))
+    spread = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    members = members.join(spread.select("sig"), "sig")
+    other = members.select("sig", *(F.col(c).alias(f"b_{c}") for c in members.columns if c != "sig"))
+    own_only, other_only = (
+        sum((F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}{w}")))) for w in _WORDS), F.lit(0))
+        for x, y in (("", "b_"), ("b_", ""))
     )
-    tried = near.select("a", "b")
-    for turn in range(TURNS + 1):
-        placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = placed.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
-        parts = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside")).where("n * n > inside")
-        parts = cut(parts)
-        rows, pairs = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()
-        if not rows:
-            break
-        placed = cut(placed.join(parts.select("sig"), "sig"))
-        if turn < TURNS and pairs > 2 * rows:
-            one = placed.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")).alias("one"))
-            one = one.select("sig", *(F.col(f"one.{c}").alias(f"b_{c}") for c in ("node", "n", "component")))
-        else:
-            one, turn = placed.select("sig", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component"))), TURNS
-        more = (
-            placed.join(one, "sig")
-            .where("node <> b_node and component <> b_component")
-            .select(
-                F.least("node", "b_node").alias("a"), F.when(F.col("node") < F.col("b_node"), F.col("n")).otherwise(F.col("b_n")).alias("a_n"),
-                F.greatest("node", "b_node").alias("b"), F.when(F.col("node") < F.col("b_node"), F.col("b_n")).otherwise(F.col("n")).alias("b_n"),
-            )
-        )
-        more = cut(_fitting(more, percent).distinct().join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            tried = cut(tried.unionByName(more))
-            links = cut(links.unionByName(_verify(more, known, holders, percent, size)))
-            found = cut(components(links))
-        if turn == TURNS:
-            break
+    enough = percent * (F.col("n") + F.col("b_n"))  # 100 + percent times the tokens that similar sets share at least
+    fits = ((F.col("n") - own_only) * (100 + percent) >= enough) & ((F.col("b_n") - other_only) * (100 + percent) >= enough)
+    more = (
+        members.join(other, "sig")
+        .where("node < b_node and component <> b_component")
+        .where(fits)
+        .select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("b_node").alias("b"), "b_n")
+    )
+    more = cut(_fitting(more, percent).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = cut(links.unionByName(_verify(more, known, holders.select("node", "doc_id"), percent, size)))
+        found = cut(components(links))
 
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = degree.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    nodes = holders.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = holders.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     nodes = nodes.join(smallest, "component").join(degree, "node", "left").select("node", "component_id", "n_links")
     linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
