@@ -207,7 +207,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]
     labelled = texts.join(F.broadcast(known), "doc_id").select("quality", "text")  # FIT_ROWS rows at most
     found = labelled.mapInArrow(features, "quality int, x binary").collect()
     y = np.array([r.quality for r in found], float)
-    x = np.array([np.frombuffer(r.x, np.float32) for r in found]).reshape(len(y), -1)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in found]).reshape(len(y), 2 * DIMENSIONS + 5)
     order = np.lexsort(x.T[::-1]) if len(y) else []  # the same fit for any order of the rows
     x, y = x[order], y[order]
     mean = float(y.mean()) if len(y) else 0.5
