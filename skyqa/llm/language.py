@@ -97,8 +97,11 @@ def identify(
             texts = pa.array([_visible(h) for h in batch.column(1).to_pylist()], pa.large_string())
             for at, to, data, offsets in text_blocks(texts):
                 place, doc = _trigrams(data, offsets)
-                score = np.stack([np.bincount(doc, m[place], to - at) for m in model], axis=1) if len(names) else np.zeros((to - at, 0))
-                score = (score - score.max(axis=1, keepdims=True, initial=-np.inf)) * TEXT_WEIGHT if len(names) else score
+                score = np.zeros((to - at, len(names)))
+                if len(names):
+                    for i, share in enumerate(model):
+                        score[:, i] = np.bincount(doc, share[place], to - at)
+                    score = (score - score.max(axis=1, keepdims=True)) * TEXT_WEIGHT
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(at, to - at) for c in (batch.column(0), *batch.columns[2:])),
                      list_array(score.ravel(), np.full(to - at, len(names)))],
