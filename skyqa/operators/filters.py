@@ -130,9 +130,12 @@ def visit_slice(
 def visits_long(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Every filter and metric at once: ``keys..., metric, value`` without missing values.
 
-    Metrics that the table lacks are returned beside the frame.
+    Metrics that the table lacks are returned beside the frame, which is empty if it lacks all.
     """
     present = [m for m in metrics if m in df.columns]
+    if not present:
+        metric, value = F.lit("").alias("metric"), F.lit(0.0).alias("value")
+        return df.where(F.lit(False)).select(*[named(k) for k in keys], metric, value), list(metrics)
     wide = df.select(
         *[named(k) for k in keys], *[finite_or_null(named(m).cast("double")).alias(m) for m in present]
     )

@@ -96,7 +96,7 @@ def sample_per_key(
 
 
 def decimate(
-    df: DataFrame, id_column: str, max_samples: int = 5000, seed: int = 0, order: Column | None = None
+    df: DataFrame, id_column: str, max_samples: int, seed: int = 0, order: Column | None = None
 ) -> DataFrame:
     """At most ``max_samples`` random rows of the whole table, repeatable by seed."""
     return df.orderBy(*_shuffled(id_column, seed, order)).limit(max_samples)

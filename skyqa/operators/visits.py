@@ -48,6 +48,9 @@ def visit_series_long(
     """
     present = [m for m in metrics if m in stats.columns]
     missing = [m for m in metrics if m not in stats.columns]
+    if not present:
+        empty = stats.where(F.lit(False)).select(named(visit_name).cast("string").alias(visit_name))
+        return empty.select("*", F.lit("").alias("series"), F.lit(0.0).alias("value")), missing
     wide = visit_series(stats, filter_value, present, statistic, filter_name, visit_name)
     renamed = wide.withColumnsRenamed({m: f"{m}_{statistic}" for m in present})
     long = renamed.unpivot(

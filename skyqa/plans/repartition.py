@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from skyqa.operators.ingest import normalize, project_dataset, sample_fraction
-from skyqa.operators.schema import KINDS, CatalogueKind
+from skyqa.operators.schema import KINDS, CatalogueKind, numeric_columns
 from skyqa.operators.stats import describe_by_key
 from skyqa.sources.layout import CHUNK_KEYS, NUM_BUCKETS, write_incremental, write_partitioned, write_stats
 from skyqa.sources.readers import read_with_keys, scan
@@ -43,8 +43,7 @@ def repartition_catalogue(
     written = scan(spark, path).drop("bucket")
     skip = [*kind.keys, kind.bucket_by]
     stats_path = f"{destination}/{kind.name}_stats"
-    numeric = [f.name for f in clean.schema.fields if f.dataType.typeName() in ("double", "float")]
-    write_stats(describe_by_key(written, kind.keys, [c for c in numeric if c not in skip]), stats_path)
+    write_stats(describe_by_key(written, kind.keys, numeric_columns(written, skip=skip)), stats_path)
     return spark.read.parquet(stats_path)
 
 

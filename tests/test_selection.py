@@ -25,6 +25,7 @@ from skyqa.operators.schema import (
 )
 
 NAN = float("nan")
+from skyqa.operators.visits import visit_series_long
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +144,11 @@ def test_samples_repeat_in_any_layout(spark):
     assert sample_per_key(df, ["k"], 20, "i").groupBy("k").count().where("count > 20").isEmpty()
     assert decimate(df, "i", 100).count() == 100
     assert 350 < sample_fraction(df, 0.1, by="i").count() < 650
+
+
+def test_no_wanted_metric_gives_an_empty_frame_and_the_list(spark):
+    df = spark.createDataFrame([("r", 1, "mean", 2.0)], "filter string, visit int, statistic string, m double")
+    long, missing = visits_long(df, ["filter", "visit"], ["a", "b"])
+    assert long.columns == ["filter", "visit", "metric", "value"] and long.count() == 0 and missing == ["a", "b"]
+    series, missing = visit_series_long(df, "r", ["a"])
+    assert series.columns == ["visit", "series", "value"] and series.count() == 0 and missing == ["a"]
