@@ -146,7 +146,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cat = catalogue(spark, sf)
-    return rounded(adaptive_points(cat, "flux", x=RA, y=DEC, max_points=cat.count()))
+    return rounded(adaptive_points(cat, "flux", x=RA, y=DEC, points=True))
 
 
 def _centre(c: str, index: str) -> str:
@@ -165,7 +165,7 @@ def _centre(c: str, index: str) -> str:
     ),
 )
 def _(spark, sf):
-    return rounded(adaptive_points(catalogue(spark, sf), "flux", x=RA, y=DEC, max_points=100))
+    return rounded(adaptive_points(catalogue(spark, sf), "flux", x=RA, y=DEC, points=False))
 
 
 # tract metrics and the sky map

@@ -18,7 +18,6 @@ from skyqa.operators.filters import FilterState
 
 # Default raster size, and the row count up to which points stay points.
 SAMPLING = 5000
-MAX_POINTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -223,17 +222,18 @@ def adaptive_points(
     x: Axis = Axis("ra"),
     y: Axis = Axis("dec"),
     state: FilterState | None = None,
-    max_points: int = MAX_POINTS,
+    *,
+    points: bool,
 ) -> DataFrame:
-    """Points while there are few, a raster beyond: ``x, y, n, value`` either way.
+    """Points or a raster, as the caller says: ``x, y, n, value`` either way.
 
-    A point has ``n = 1``; a bin has its centre, its count and its aggregate. Choosing
-    between the two reads no more than ``max_points + 1`` selected rows.
+    A point has ``n = 1``; a bin has its centre, its count and its aggregate. Rows without a position are in neither.
     """
-    rows = df.where(_viewport(x) & _viewport(y))
-    if state is not None:
-        rows = rows.where(state.predicate())
-    if rows.select(named(x.column)).limit(max_points + 1).count() <= max_points:
+    if points:
+        placed = x.value().isNotNull() & y.value().isNotNull()
+        rows = df.where(_viewport(x) & _viewport(y)).where(placed)
+        if state is not None:
+            rows = rows.where(state.predicate())
         return rows.select(
             x.value().alias("x"),
             y.value().alias("y"),

@@ -98,12 +98,12 @@ def test_density_layers_agree_with_single_rasters(sky):
     assert one.exceptAll(sky_layer.select("ix", "iy", F.round("value", 9))).count() == 0
 
 
-def test_adaptive_switches_once_there_are_too_many(sky):
+def test_points_or_raster_as_asked(sky):
     df, pdf = sky
-    assert adaptive_points(df, "m", x=RA, y=DEC, max_points=len(pdf)).count() == len(pdf)
-    bins = adaptive_points(df, "m", x=RA, y=DEC, max_points=len(pdf) - 1)
+    assert adaptive_points(df, "m", x=RA, y=DEC, points=True).count() == len(pdf)
+    bins = adaptive_points(df, "m", x=RA, y=DEC, points=False)
     assert bins.count() == 80 and bins.agg(F.sum("n")).first()[0] == len(pdf)
-    assert bins.schema == adaptive_points(df, "m", x=RA, y=DEC).schema
+    assert bins.schema == adaptive_points(df, "m", x=RA, y=DEC, points=True).schema
 
 
 BOXES = [(1, 0.0, 10.0, 0.0, 10.0), (2, 9.0, 20.0, 0.0, 10.0), (3, -30.0, 40.0, -20.0, 30.0)]
