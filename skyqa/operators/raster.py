@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skyqa.functions.clean import finite_or_null, named
 from skyqa.operators.filters import FilterState
 
-# Default raster size, and the row count up to which points stay points.
+# Fixed value: default raster size.
 SAMPLING = 5000
 
 
