@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyqa.functions.frames import scratch_path
 from skyqa.llm.fm_index import FMIndex
+from skyqa.llm.tables import written
 from skyqa.llm.words import SPACED, Words, as_long, find_words, grams, list_array, mix, same_text, text_blocks
 
 #: Words of a window and of an anchor.
@@ -99,7 +99,6 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
     words, in their order, also start in a document with a smaller doc_id. Rows with NULL id or text have none and
     give none. Intervals may overlap.
     """
-    spark = docs.sparkSession
     texts = docs.where("doc_id is not null and text is not null").select("row", "doc_id", "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +117,8 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
                 )
 
     seen = texts.mapInArrow(anchors, "anchor long, row long")
-    path = scratch_path(spark, "anchors")
-    repeated = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    repeated.where("n > 1").select("anchor", (F.col("n") >= COMMON).alias("common")).write.parquet(path)
-    repeated = spark.read.parquet(path)
+    counted = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = written(counted.select("anchor", (F.col("n") >= COMMON).alias("common")), "anchors")
     # per row its repeated anchors: at most as many as it has words
     wanted = seen.select("anchor", "row").join(repeated, "anchor").groupBy("row").agg(
         F.collect_set(F.struct("anchor", "common")).alias("kept")
@@ -131,9 +128,8 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
         F.transform("kept", lambda x: x["anchor"]).alias("kept"),
         F.transform(F.filter("kept", lambda x: x["common"]), lambda x: x["anchor"]).alias("common"),
     )
-    path = scratch_path(spark, "routed")
-    texts.dropDuplicates(["row"]).join(wanted, "row").write.option("compression", "zstd").parquet(path)
-    routed = spark.read.parquet(path).select("row", "doc_id", "text", "kept", "common")
+    routed = written(texts.dropDuplicates(["row"]).join(wanted, "row"), "routed")
+    routed = routed.select("row", "doc_id", "text", "kept", "common")
 
     def cut(with_text: bool):
         def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +156,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
     distinct = routed.mapInArrow(cut(True), "name long, doc_id long, key long, words binary").groupBy("name").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("key").alias("key"), F.min("words").alias("words")
     )
-    path = scratch_path(spark, "fragments")
-    distinct.write.option("compression", "zstd").parquet(path)
-    distinct = spark.read.parquet(path)
+    distinct = written(distinct, "fragments")
     size = distinct.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(1, -(-size // (6 * SHARD_WORDS)))
     answers = (
