@@ -74,7 +74,7 @@ def _(spark, sf):
             f"""select '{m}' as metric, 'scatter' as layer, {bin_sql('flux', 32)} as ix, {bin_sql(m, 16)} as iy,
             count(*) as n, cast(null as double) as value from nrm where {m} is not null and {STATE_SQL} group by 3, 4
             union all select '{m}', 'sky', {IX}, {IY}, count(*), {plain_r(f'avg({m})')}
-            from nrm where {m} is not null and {STATE_SQL} group by 3, 4"""
+            from nrm where {STATE_SQL} group by 3, 4"""
             for m in METRICS
         ),
         "nrm",

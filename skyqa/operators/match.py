@@ -55,13 +55,14 @@ def _length(parts: Sequence[Column]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts]))
 
 
-def _vectors(df: DataFrame, id_column: str, ra: str, dec: str, id_name: str) -> DataFrame:
-    placed = df.select(
-        named(id_column).alias(id_name),
-        finite_or_null(named(ra).cast("double")).alias("__ra"),
-        finite_or_null(named(dec).cast("double")).alias("__dec"),
-    ).where(F.col("__ra").isNotNull() & F.col("__dec").isNotNull())
-    return placed.select(id_name, *unit_vector(F.col("__ra"), F.col("__dec")))
+def _places(df: DataFrame, id_column: str, ra: str, dec: str) -> DataFrame:
+    """One column ``at``: the id and the position of every row."""
+    position = {"ra": finite_or_null(named(ra).cast("double")), "dec": finite_or_null(named(dec).cast("double"))}
+    return df.select(F.struct(named(id_column).alias("id"), *[c.alias(n) for n, c in position.items()]).alias("at"))
+
+
+def _placed(places: DataFrame) -> DataFrame:
+    return places.where(F.col("at.ra").isNotNull() & F.col("at.dec").isNotNull())
 
 
 def _cube_of(size: float, names: Sequence[str]) -> dict[str, Column]:
@@ -78,17 +79,27 @@ def neighbours(
     ra: str = "ra",
     dec: str = "dec",
     leaf: int = LEAF,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """The up to ``k`` nearest right rows strictly within ``radius`` degrees of each left row.
 
     Returns ``left_id, neighbour, right_id, distance``: ``neighbour`` counts from 1 and
     ``distance`` is in degrees. A left row without any neighbour has one row with NULLs.
     Equal distances are ordered by the right id. Rows without a position match nothing.
+
+    Left ids may repeat: neighbours belong to an id at a position, and each row of it gets
+    them. Known to be unique (``unique_ids``), the left rows need no exchange to merge copies.
     """
     reach = chord_of(radius)
     size = reach * _CUBE_RADII
-    lefts = _vectors(left, left_id, ra, dec, "lid")
-    rights = _vectors(right, right_id, ra, dec, "rid").withColumns(_cube_of(size, _CUBE))
+    lefts = _placed(_places(left, left_id, ra, dec)).withColumnRenamed("at", "lid")
+    if not unique_ids:
+        lefts = lefts.distinct()
+    lefts = lefts.select("lid", *unit_vector(F.col("lid.ra"), F.col("lid.dec")))
+    rights = _placed(_places(right, right_id, ra, dec)).select(
+        F.col("at.id").alias("rid"), *unit_vector(F.col("at.ra"), F.col("at.dec"))
+    )
+    rights = rights.withColumns(_cube_of(size, _CUBE))
 
     wide = reach * (1 + _SLACK) + 1e-15
     touched = lefts
@@ -117,9 +128,9 @@ def neighbours(
         .where(F.col("neighbour") <= k)
         .select("lid", "neighbour", F.col("rid").alias("__rid"), angle_of(F.col("chord")).alias("distance"))
     )
-    ids = left.select(named(left_id).alias("__id"))
-    return ids.join(ranked, F.col("__id") == F.col("lid"), "left").select(
-        F.col("__id").alias(left_id),
+    rows = _places(left, left_id, ra, dec)
+    return rows.join(ranked, F.col("at") == F.col("lid"), "left").select(
+        F.col("at.id").alias(left_id),
         F.coalesce("neighbour", F.lit(1)).alias("neighbour"),
         F.col("__rid").alias(right_id if right_id != left_id else f"{right_id}_2"),
         "distance",
@@ -224,7 +235,8 @@ def sky_match(
     for df in (left, right):
         _check_catalogue(df, [id_column, ra, dec, flag], id_column, check_ids)
     found = neighbours(
-        primary(left, flag), primary(right, flag), radius_arcsec / 3600.0, 1, id_column, id_column, ra, dec, leaf
+        primary(left, flag), primary(right, flag), radius_arcsec / 3600.0, 1, id_column, id_column, ra, dec, leaf,
+        unique_ids=check_ids,
     )
     return found.select(
         named(id_column),

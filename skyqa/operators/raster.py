@@ -7,8 +7,10 @@ row per bin and input task, whatever the number of objects or the crowding of on
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,9 +121,12 @@ def scatter_density(
 ) -> DataFrame:
     """Two rasters from one scan and one exchange: ``layer, ix, iy, n, value``.
 
-    ``scatter`` counts points over (x, y); ``sky`` is the mean of y over (ra, dec).
+    ``scatter`` counts points over (x, y); ``sky`` is the mean of y over (ra, dec). As in every
+    raster, ``n`` counts the rows placed in a bin and ``value`` is over those of them that have one.
     """
-    rows = df if state is None else df.where(state.predicate())
+    rows = df.where((_viewport(x) & _viewport(y)) | (_viewport(ra) & _viewport(dec)))
+    if state is not None:
+        rows = rows.where(state.predicate())
 
     def layer(name: str, a: Axis, b: Axis) -> Column:
         return F.struct(
@@ -167,9 +172,12 @@ def scatter_density_multi(
 ) -> DataFrame:
     """The scatter and sky rasters of every value column: ``metric, layer, ix, iy, n, value``.
 
-    Scatter bins of all metrics share one scan; sky bins share another.
+    Scatter bins of all metrics share one scan; sky bins share another. Each metric has the rows
+    that :func:`scatter_density` gives for it.
     """
-    rows = df if state is None else df.where(state.predicate())
+    rows = df.where(_viewport(x) & reduce(operator.or_, [_viewport(v) for v in values]))
+    if state is not None:
+        rows = rows.where(state.predicate())
     x_limits = x.limits(df)
     points = rows.select(
         x.bin(x_limits).alias("ix"),
@@ -187,25 +195,21 @@ def scatter_density_multi(
         df,
         ra,
         dec,
-        {f"{v.column}__{f}": a for v in values for f, a in
-         (("n", F.count(v.value())), ("value", F.avg(v.value())))},
+        {"n": F.count(F.lit(1))} | {f"__{v.column}": F.avg(v.value()) for v in values},
         state,
     ).select(
         "ix",
         "iy",
+        "n",
         F.inline(
             F.array(
                 *[
-                    F.struct(
-                        F.lit(v.column).alias("metric"),
-                        named(f"{v.column}__n").alias("n"),
-                        named(f"{v.column}__value").alias("value"),
-                    )
+                    F.struct(F.lit(v.column).alias("metric"), named(f"__{v.column}").alias("value"))
                     for v in values
                 ]
             )
         ),
-    ).where(F.col("n") > 0)
+    )
     columns = ["metric", "layer", "ix", "iy", "n", "value"]
     return (
         scatter.withColumn("layer", F.lit("scatter"))

@@ -64,13 +64,15 @@ RESERVED = ("patch", "dec", "psfMag", "ra", "filter", "dataset", "tract", "visit
 
 @dataclass(frozen=True)
 class CatalogueKind:
-    """One of the three catalogue tables: its name, keys and the metrics it lacks."""
+    """One of the three catalogue tables: its name, keys and the metrics it lacks, and how
+    many keys a chunk of an incremental load has."""
 
     name: str
     keys: tuple[str, ...]
     bucket_by: str
     absent_metrics: tuple[str, ...] = ()
     extra_columns: tuple[str, ...] = ()
+    chunk_keys: int = 20
 
     def metric_columns(self) -> list[str]:
         return [m for m in METRICS if m not in self.absent_metrics]
@@ -93,6 +95,7 @@ VISIT = CatalogueKind(
     "ccd",
     (*_AGAINST_UNFORCED, "CModel-PSF_magDiff_mmag"),
     VISIT_KEYS,
+    chunk_keys=80,
 )
 KINDS = {k.name: k for k in (COADD_FORCED, COADD_UNFORCED, VISIT)}
 

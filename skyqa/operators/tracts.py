@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyqa.functions.clean import named
-from skyqa.functions.frames import broadcast_if_small
+from skyqa.functions.clean import finite_or_null, named
+from skyqa.functions.frames import BROADCAST_ROWS, broadcast_if_small
 
 BOX = ("x0", "x1", "y0", "y1")
 
@@ -70,42 +70,72 @@ def map_extent(mapped: DataFrame, padding: float = 0.0) -> DataFrame:
 
 
 def points_in_tracts(
-    points: DataFrame,
-    skymap: DataFrame,
-    x: str = "ra",
-    y: str = "dec",
-    tract: str = "tract",
-    cell: tuple[float, float] | None = None,
+    points: DataFrame, skymap: DataFrame, x: str = "ra", y: str = "dec", tract: str = "tract"
 ) -> DataFrame:
     """Every (point, tract) with ``x0 <= x < x1`` and ``y0 <= y < y1``.
 
-    Boxes are laid on a grid and joined to the points by grid cell, so this is an equi-join
-    at any size; the laid-out boxes are broadcast when they are few. The cell defaults to
-    the mean box size, which keeps the number of cells per box small.
+    A box with ``x0 > x1`` lies across RA 0: it holds ``x0 <= x < 360`` and ``0 <= x < x1``.
+    A tract with a missing limit has no box. A box without area raises :class:`ValueError`.
+
+    This is an equi-join on grid cells. Each box lies on a grid as fine as its own sides,
+    rounded up to powers of two, so that it touches at most four cells or so; a point looks
+    up one cell for each pair of side lengths on the map, which are few.
     """
-    if cell is None:
-        size = skymap.agg(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0"))).first()
-        cell = (float(size[0] or 0) or 1.0, float(size[1] or 0) or 1.0)
-    w, h = (F.lit(float(c)) for c in cell)
-
-    def cells(lo: str, hi: str, step: Column) -> Column:
-        return F.sequence(F.floor(F.col(lo) / step), F.floor(F.col(hi) / step))
-
-    laid = (
-        skymap.where((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
-        .select(named(tract), *BOX, F.explode(cells("x0", "x1", w)).alias("__cx"))
-        .select("*", F.explode(cells("y0", "y1", h)).alias("__cy"))
+    pieces = _pieces(skymap, tract)
+    on_map = pieces.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.bool_or("__bad"), F.lit(False)).alias("bad"),
+        F.collect_set(F.when(~F.col("__bad"), F.struct("__lx", "__ly"))).alias("levels"),
+    ).first()
+    if on_map["bad"]:
+        raise ValueError("a tract box has no area, or crosses RA 0 outside [0, 360]")
+
+    def cells(lo: str, hi: str, level: str) -> Column:
+        return F.explode(F.sequence(_cell(F.col(lo), F.col(level)), _cell(F.col(hi), F.col(level))))
+
+    laid = pieces.drop("__bad").withColumn("__cx", cells("__x0", "__x1", "__lx"))
+    laid = laid.withColumn("__cy", cells("__y0", "__y1", "__ly"))
+    if on_map["n"] * _TOUCHED <= BROADCAST_ROWS:
+        laid = F.broadcast(laid)
+    levels = [F.struct(F.lit(a).alias("__lx"), F.lit(b).alias("__ly")) for a, b in on_map["levels"] or [(0, 0)]]
+    placed = points.select("*", F.inline(F.array(*levels))).withColumns(
+        {"__cx": _cell(named(x), F.col("__lx")), "__cy": _cell(named(y), F.col("__ly"))}
     )
-    placed = points.withColumns({"__cx": F.floor(named(x) / w), "__cy": F.floor(named(y) / h)})
     inside = (
-        (named(x) >= F.col("x0")) & (named(x) < F.col("x1"))
-        & (named(y) >= F.col("y0")) & (named(y) < F.col("y1"))
-    )
-    return (
-        placed.join(broadcast_if_small(laid), ["__cx", "__cy"])
-        .where(inside)
-        .drop("__cx", "__cy", *BOX)
+        (named(x) >= F.col("__x0")) & (named(x) < F.col("__x1"))
+        & (named(y) >= F.col("__y0")) & (named(y) < F.col("__y1"))
     )
+    on = ["__lx", "__ly", "__cx", "__cy"]
+    return placed.join(laid, on).where(inside).drop(*on, "__x0", "__x1", "__y0", "__y1")
+
+
+# cells that a box touches on its own grid, and the exponent of the finest grid (about an arcsecond)
+_TOUCHED = 4
+_FINEST = -12
+
+
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value / F.pow(F.lit(2.0), level))
+
+
+def _pieces(skymap: DataFrame, tract: str) -> DataFrame:
+    """Boxes as ``tract, __x0, __x1, __y0, __y1`` in two pieces across RA 0, with the exponents of their sides."""
+    x0, x1, y0, y1 = (F.col(f"__{c}") for c in BOX)
+    boxes = skymap.select(
+        named(tract), *[finite_or_null(F.col(c).cast("double")).alias(f"__{c}") for c in BOX]
+    ).where(x0.isNotNull() & x1.isNotNull() & y0.isNotNull() & y1.isNotNull())
+    bad = (x0 == x1) | (y0 >= y1) | ((x0 > x1) & ((x0 >= 360) | (x1 < 0)))
+
+    def piece(lo: Column, hi: Column) -> Column:
+        return F.struct(lo.alias("__x0"), hi.alias("__x1"))
+
+    spans = F.when(x0 > x1, F.array(piece(x0, F.lit(360.0)), piece(F.lit(0.0), x1))).otherwise(F.array(piece(x0, x1)))
+    pieces = boxes.select(named(tract), "__y0", "__y1", bad.alias("__bad"), F.inline(spans))
+
+    def level(side: Column) -> Column:
+        return F.greatest(F.ceil(F.log2(side)), F.lit(_FINEST)).cast("int")
+
+    return pieces.where(F.col("__bad") | (x0 < x1)).withColumns({"__lx": level(x1 - x0), "__ly": level(y1 - y0)})
 
 
 def tracts_at(

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from skyqa.operators.filters import FilterState, coadd_slice, query_filter, stats_slice, visit_slice
-from skyqa.operators.raster import Axis, scatter_density, sky_raster
+from skyqa.operators.raster import Axis, scatter_density_multi
 from skyqa.operators.stats import dimension_ranges, info_counts, summary_table
 from skyqa.operators.visits import visit_series_long
 from skyqa.sources.readers import read_stats
@@ -63,38 +63,37 @@ def explore(catalogue: Catalogue, request: Request) -> tuple[dict[str, DataFrame
     """Every table behind the plots of one selection, lazily, and the warnings.
 
     ``series`` per-visit metric series, ``rows`` the selected objects, ``ranges`` display
-    ranges, ``sky:<metric>`` sky maps, ``scatter:<metric>`` densities, ``summary:<metric>``
-    summary rows and ``info`` the counts.
+    ranges, ``density`` the scatter and sky layers of all metrics, ``summary`` their summary
+    rows and ``info`` the counts. Unknown metrics and tracts are reported and left out; without
+    a known metric there is no density or summary, and without a known tract all are used,
+    in every table alike.
     """
-    metrics: Sequence[str] = list(request.metrics)
-    warnings: list[str] = []
+    source = catalogue.coadd if request.visit is None else catalogue.visit
+    metrics: Sequence[str] = [m for m in request.metrics if m in source.columns]
+    warnings = [f"no metric {m}" for m in request.metrics if m not in source.columns]
+    tracts = tuple(t for t in request.tracts if t in catalogue.tracts)
     if request.visit is None:
-        rows, warnings = coadd_slice(
+        rows, unknown = coadd_slice(
             catalogue.coadd, request.filter_value, metrics, request.tracts, catalogue.tracts
         )
+        warnings += unknown
     else:
         rows = visit_slice(catalogue.visit, request.filter_value, metrics, request.visit)
     rows = query_filter(rows, request.flags, request.expression)
-    stats = stats_slice(catalogue.coadd_stats, request.filter_value, request.tracts)
+    stats = stats_slice(catalogue.coadd_stats, request.filter_value, tracts)
     series, missing = visit_series_long(
-        stats_slice(catalogue.stats["visit"], None, request.tracts),
-        request.filter_value,
-        metrics,
-        request.statistic,
+        stats_slice(catalogue.stats["visit"], None, tracts), request.filter_value, metrics, request.statistic
     )
     warnings += [f"no visit statistics for {m}" for m in missing]
-    ra, dec = Axis("ra", request.bins), Axis("dec", request.bins)
     tables = {
         "series": series,
         "rows": rows,
         "ranges": dimension_ranges(rows, stats, metrics),
-        "info": info_counts(catalogue.coadd_stats, catalogue.stats["visit"], rows, request.tracts),
+        "info": info_counts(catalogue.coadd_stats, catalogue.stats["visit"], rows, tracts),
     }
-    for m in metrics:
-        y = Axis(m, request.bins)
-        tables[f"sky:{m}"] = sky_raster(rows, m, "mean", ra, dec, request.state)
-        tables[f"scatter:{m}"] = scatter_density(
-            rows, Axis("psfMag", request.bins), y, ra, dec, request.state
-        )
-        tables[f"summary:{m}"] = summary_table(rows, [m], request.state)
+    if metrics:
+        x, ra, dec = (Axis(c, request.bins) for c in ("psfMag", "ra", "dec"))
+        values = [Axis(m, request.bins) for m in metrics]
+        tables["density"] = scatter_density_multi(rows, x, values, ra, dec, request.state)
+        tables["summary"] = summary_table(rows, metrics, request.state)
     return tables, warnings

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyqa.functions.clean import named
 from skyqa.functions.frames import broadcast_if_small, cut, join_on
 from skyqa.operators.keys import key_chunks
-from skyqa.sources.readers import path_exists
+from skyqa.sources.readers import is_complete
 
 # Buckets per partition, and keys per chunk of an incremental load.
 NUM_BUCKETS = 8
@@ -115,8 +115,11 @@ def load_stats(
     compute: Callable[[], DataFrame],
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Read a statistics table, computing and writing it first if it is not there."""
-    if not path_exists(spark, path):
+    """Read a statistics table, computing and writing it first if it is not there.
+
+    A table without success marker is half-written and made anew.
+    """
+    if not is_complete(spark, path):
         write_stats(compute(), path)
     stats = spark.read.parquet(path)
     return stats if columns is None else stats.select(*[named(c) for c in columns])

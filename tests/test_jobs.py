@@ -1,5 +1,9 @@
 """The three end-to-end jobs on catalogues with the real column names."""
 
+import contextlib
+import io
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +13,8 @@ from skyqa.operators.filters import FilterState
 from skyqa.operators.schema import COADD_FORCED, COADD_UNFORCED, FLAGS, METRICS, VISIT
 from skyqa.plans.compare import compare_catalogues
 from skyqa.plans.explorer import Request, explore, open_catalogue
-from skyqa.plans.repartition import main, repartition_catalogue
+from skyqa.plans.repartition import main, manifest_chunks, repartition_catalogue
+from skyqa.sources.readers import read_with_keys
 
 N = 600
 METRIC = "Kron-PSF_magDiff_mmag"
@@ -72,6 +77,21 @@ def test_repartition_writes_catalogues_and_statistics(spark, folder):
     assert got == pytest.approx(want)
 
 
+def test_chunks_open_their_own_files_only(spark, folder):
+    manifest = spark.read.parquet(folder.replace("/out", "/manifest")).where("dataset = 'visit'")
+    chunks = list(manifest_chunks(manifest, VISIT.keys, 3))
+    opened = [set(read_with_keys(spark, c, VISIT.keys, ["id"]).inputFiles()) for c in chunks]
+    assert len(opened) > 2 and sum(map(len, opened)) == len(set().union(*opened))
+    keys = [{tuple(r) for r in c.select(*VISIT.keys).collect()} for c in chunks]
+    assert max(map(len, keys)) <= 3 and sum(map(len, keys)) == manifest.count()
+
+
+def test_integer_metrics_are_described(spark):
+    whole = raw(spark).withColumn("base_Footprint_nPix", F.col("base_Footprint_nPix").cast("int"))
+    stats = repartition_catalogue(whole, scratch_path(spark, "whole"), COADD_FORCED)
+    assert stats.where("statistic = 'max'").agg(F.max("base_Footprint_nPix")).first()[0] == 101
+
+
 def test_repartition_can_sample(spark):
     out = scratch_path(spark, "sampled")
     stats = repartition_catalogue(raw(spark), out, COADD_FORCED, sample_frac=0.2)
@@ -94,9 +114,9 @@ def test_explore(spark, folder):
     )
     assert rows.count() == want.count() > 0
     selected = rows.where("ra >= 150.1 and ra < 150.5").count()
-    assert tables[f"sky:{METRIC}"].agg(F.sum("n")).first()[0] == selected
-    assert tables[f"scatter:{METRIC}"].where("layer = 'scatter'").agg(F.sum("n")).first()[0] == selected
-    assert tables[f"summary:{METRIC}"].where("statistic = 'count'").first()[METRIC] == selected
+    placed = {r.layer: r.n for r in tables["density"].groupBy("layer").agg(F.sum("n").alias("n")).collect()}
+    assert placed == {"sky": selected, "scatter": selected}
+    assert tables["summary"].where("statistic = 'count'").first()[METRIC] == selected
     assert tables["info"].first().object_count == rows.count()
     assert [r.visit for r in tables["series"].collect()] == ["100", "102"]
     assert {r.column for r in tables["ranges"].collect()} == {"ra", "dec", "psfMag", METRIC}
@@ -104,6 +124,39 @@ def test_explore(spark, folder):
     assert one["rows"].select("visit").distinct().collect()[0][0] == 101
 
 
+def test_explore_without_known_tracts_or_metrics(spark, folder):
+    catalogue = open_catalogue(spark, folder)
+    tables, warnings = explore(catalogue, Request("HSC-I", (METRIC, "gone"), (1,), bins=8))
+    assert warnings == ["no metric gone", "tract 1 is not in the data", "no known tract selected, using all tracts"]
+    rows = tables["rows"].count()
+    assert rows == raw(spark).where("filter = 'HSC-I' and id % 50 != 7").count()
+    # every table is about the same tracts as the rows
+    assert tables["info"].first().visit_count == 4 and tables["series"].count() == 4
+    assert all(r.lo is not None for r in tables["ranges"].select(F.col(tables["ranges"].columns[1]).alias("lo")).collect())
+    tables, _ = explore(catalogue, Request("HSC-I", ("gone",)))
+    assert "density" not in tables and tables["series"].count() == 0 and tables["rows"].count() > 0
+
+
+def test_scans_of_explore_do_not_grow_with_the_metrics(spark, folder):
+    catalogue = open_catalogue(spark, folder)
+
+    def scans(metrics):
+        tables, _ = explore(catalogue, Request("HSC-I", metrics, bins=8))
+        found = 0
+        for name in ("density", "summary"):
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out):
+                tables[name].explain("formatted")
+            found += len(re.findall(r"^\(\d+\) Scan parquet", out.getvalue(), re.M))
+        return found
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # shows what is shared before anything runs
+    try:
+        assert scans((METRIC,)) == scans(tuple(m for m in METRICS if m in catalogue.coadd.columns)[:3]) > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_compare(spark):
     left = raw(spark).select(
         "id", F.degrees("coord_ra").alias("ra"), F.degrees("coord_dec").alias("dec"), named(METRIC).alias("m"),

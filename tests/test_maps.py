@@ -120,9 +120,61 @@ def test_points_in_overlapping_boxes(spark, skymap):
     pts += [(300, 0.0, 0.0), (301, 10.0, 5.0), (302, 9.0, 10.0)]
     want = sorted((i, t) for i, x, y in pts for t, x0, x1, y0, y1 in BOXES if x0 <= x < x1 and y0 <= y < y1)
     df = spark.createDataFrame(pts, "id int, ra double, dec double")
-    for cell in (None, (1.0, 100.0), (50.0, 3.0)):
-        got = points_in_tracts(df, skymap, cell=cell)
-        assert sorted((r.id, r.tract) for r in got.collect()) == want
+    got = points_in_tracts(df, skymap)
+    assert sorted((r.id, r.tract) for r in got.collect()) == want
+    nothing = points_in_tracts(df, skymap.limit(0))
+    assert nothing.count() == 0 and nothing.columns == got.columns
+
+
+def test_boxes_across_zero_and_of_mixed_sizes(spark):
+    boxes = [(1, 359.0, 1.0, -1.0, 1.0), (2, 358.0, 0.0, 0.0, 5.0), (3, 0.0, 360.0, 0.0, 0.01)]
+    # many tiny boxes beside large ones, and one that is not placed
+    boxes += [(10 + i, 0.1 + i * 1e-4, 0.1 + i * 1e-4 + 1e-4, 0.0, 1e-4) for i in range(200)]
+    boxes += [(900, None, 1.0, 0.0, 1.0)]
+    skymap = spark.createDataFrame(boxes, "tract int, x0 double, x1 double, y0 double, y1 double")
+    rng = np.random.default_rng(3)
+    xs = np.r_[rng.uniform(0, 2, 200), rng.uniform(357, 360, 200), rng.uniform(0.1, 0.12, 200), 0.0, 1.0, 359.0, 359.999]
+    ys = np.r_[rng.uniform(-2, 6, 400), rng.uniform(0, 2e-4, 200), 0.0, 0.0, -1.0, 0.5]
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(xs, ys, strict=True))]
+
+    def holds(x0, x1, x):
+        return x0 <= x < x1 if x0 < x1 else x >= x0 or x < x1
+
+    want = sorted(
+        (i, t) for i, x, y in pts for t, x0, x1, y0, y1 in boxes if x0 is not None and holds(x0, x1, x) and y0 <= y < y1
+    )
+    got = points_in_tracts(spark.createDataFrame(pts, "id int, ra double, dec double"), skymap)
+    assert sorted((r.id, r.tract) for r in got.collect()) == want
+    for flat in ((1, 2.0, 2.0, 0.0, 1.0), (1, 1.0, 2.0, 1.0, 1.0), (1, 10.0, -10.0, 0.0, 1.0)):
+        with pytest.raises(ValueError, match="area"):
+            points_in_tracts(got.select("id", "ra", "dec"), spark.createDataFrame([flat], skymap.schema))
+
+
+def test_layers_count_placed_rows_alike(spark):
+    rows = [(1.0, 1.0, 5.0, 2.0), (1.0, 1.0, 5.0, None), (9.0, 9.0, None, None), (None, 1.0, 5.0, 3.0)]
+    df = spark.createDataFrame(rows, "ra double, dec double, x double, m double")
+    ra, dec, x, m = Axis("ra", 4), Axis("dec", 4), Axis("x", 4), Axis("m", 4)
+    one = scatter_density(df, x, m, ra, dec)
+    many = scatter_density_multi(df, x, [m], ra, dec).select(one.columns)
+    assert one.exceptAll(many).count() == 0 == many.exceptAll(one).count()
+    sky = {(r.ix, r.iy): (r.n, r.value) for r in one.where("layer = 'sky'").collect()}
+    assert sky == {(0, 0): (2, 2.0), (3, 3): (1, None)}
+    assert sky == {(r.ix, r.iy): (r.n, r.value) for r in sky_raster(df, "m", "mean", ra, dec).collect()}
+
+
+def test_scatter_reads_only_the_viewport(sky, tmp_path):
+    df, _ = sky
+    path = str(tmp_path / "t")
+    df.write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    ra, dec, m = Axis("ra", 4, 1.0, 2.0), Axis("dec", 4, 0.0, 1.0), Axis("m", 4, -1.0, 1.0)
+    for got, want in (
+        (scatter_density(stored, ra, m, ra, dec), scatter_density(df, ra, m, ra, dec)),
+        (scatter_density_multi(stored, ra, [m], ra, dec), scatter_density_multi(df, ra, [m], ra, dec)),
+    ):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(ra,1.0)" in plan.replace(" ", "")
+        assert got.select("layer", "ix", "iy", "n").exceptAll(want.select("layer", "ix", "iy", "n")).count() == 0
 
 
 def test_map_polygons_and_taps(spark, skymap):

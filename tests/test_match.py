@@ -93,6 +93,22 @@ def test_any_field(spark, seed, radius, k, leaf):
     assert found(spark, left, right, radius, k, leaf) == brute(left, right, radius, k)
 
 
+@pytest.mark.parametrize("leaf", [4, 10_000])
+def test_repeated_left_ids_are_rows_of_their_own(spark, leaf):
+    rng = np.random.default_rng(8)
+    left, right = frame(rng.uniform(0, 1, 120), rng.uniform(0, 1, 120)), frame(rng.uniform(0, 1, 200), rng.uniform(0, 1, 200))
+    left["id"] %= 30
+    left = pd.concat([left, left.head(40)], ignore_index=True)
+    want = []
+    for i in range(len(left)):
+        row = left.iloc[[i]]
+        near = brute(row, right, 0.1, 2)[row.id.iloc[0]]
+        want += [(int(row.id.iloc[0]), n, r) for n, r in enumerate(near or [None], 1)]
+    got = neighbours(spark.createDataFrame(left), spark.createDataFrame(right), 0.1, 2, leaf=leaf).collect()
+    order = lambda t: (t[0], t[1], -1 if t[2] is None else t[2])
+    assert sorted(((r.id, r.neighbour, r.id_2) for r in got), key=order) == sorted(want, key=order)
+
+
 def test_missing_positions_and_empty_sides(spark):
     schema = "id long, ra double, dec double"
     left = spark.createDataFrame([(1, None, 0.0), (2, float("nan"), 0.0), (3, 5.0, 5.0)], schema)
