@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame
 
 from skyqa.functions.frames import scratch_path
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a compressed table in shared storage, without its lineage.
 
-    Nothing needs the shuffle files of the plan that made it any more. Spark removes them once the driver's JVM
-    has collected that plan, which may be long after on a large heap, so a collection is asked for here.
+    Nothing needs the shuffle files of the plan that made it any more, so Spark is told to remove them when the
+    write ends instead of some time after the driver has forgotten the plan.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.parquet(path)
