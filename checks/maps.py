@@ -17,7 +17,15 @@ from skyqa.operators.raster import (
     sky_raster,
     sky_raster_multi,
 )
-from skyqa.operators.tracts import map_extent, points_in_tracts, skymap_right_join, tract_map, tract_polygons
+from skyqa.operators.tracts import (
+    map_extent,
+    points_in_tracts,
+    polygons_of,
+    skymap_right_join,
+    tract_map,
+    tract_polygons,
+    tracts_at,
+)
 
 BINS = 64
 RA, DEC = Axis("ra", BINS), Axis("dec", BINS)
@@ -234,6 +242,51 @@ def _(spark, sf):
     return rounded(skymap_right_join(boxes(spark, sf), tract_metrics(spark, sf)))
 
 
+def _points(spark, sf):
+    return table(spark, sf, "customer").select(
+        "c_custkey",
+        F.expr("(c_custkey * 7919 % 3600000) / 1e4").alias("ra"),
+        F.expr("(c_custkey * 104729 % 1600000) / 1e4 - 8e1").alias("dec"),
+    )
+
+
+_POINTS = """select c_custkey, (c_custkey * 7919 % 3600000) / 1e4 as ra,
+        (c_custkey * 104729 % 1600000) / 1e4 - 8e1 as "dec" from customer"""
+# boxes of three sizes, those near RA 360 reach over it
+_ROUND = """select cast(s_suppkey as int) as tract, (s_suppkey * 7919 % 3600) / 1e1 as x0,
+        case when (s_suppkey * 7919 % 3600) / 1e1 + 4e1 / (1 + s_suppkey % 3) > 36e1
+        then (s_suppkey * 7919 % 3600) / 1e1 + 4e1 / (1 + s_suppkey % 3) - 36e1
+        else (s_suppkey * 7919 % 3600) / 1e1 + 4e1 / (1 + s_suppkey % 3) end as x1,
+        (s_suppkey * 104729 % 1500) / 1e1 - 8e1 as y0,
+        (s_suppkey * 104729 % 1500) / 1e1 - 8e1 + 1e1 / (1 + s_suppkey % 3) as y1 from supplier"""
+_IN_ROUND = """from points join boxes on (case when x0 < x1 then ra >= x0 and ra < x1 else ra >= x0 or ra < x1 end)
+    and "dec" >= y0 and "dec" < y1"""
+
+
+def _round(spark, sf):
+    table(spark, sf, "supplier").createOrReplaceTempView("supplier_boxes")
+    return spark.sql(_ROUND.replace("from supplier", "from supplier_boxes"))
+
+
+@check("points_in_tracts_wrap", with_ctes(f"select c_custkey, tract {_IN_ROUND}", points=_POINTS, boxes=_ROUND))
+def _(spark, sf):
+    return points_in_tracts(_points(spark, sf), _round(spark, sf)).select("c_custkey", named("tract"))
+
+
+@check("tracts_at", with_ctes(f"select distinct tract {_IN_ROUND}", points=_POINTS, boxes=_ROUND))
+def _(spark, sf):
+    return tracts_at(_points(spark, sf), _round(spark, sf), "ra", "dec")
+
+
+@check(
+    "polygons_of",
+    with_ctes(f"select tract, x0, x1 from boxes where tract in (select tract {_IN_ROUND})", points=_POINTS, boxes=_ROUND),
+)
+def _(spark, sf):
+    polygons = _round(spark, sf)
+    return polygons_of(tracts_at(_points(spark, sf), polygons, "ra", "dec"), polygons.select("tract", "x0", "x1"))
+
+
 @check(
     "points_in_tracts",
     with_ctes(

@@ -137,17 +137,17 @@ def _(spark, sf):
     return rounded(visit_minmax_median(catalogue(spark, sf), METRICS))
 
 
-def _box_sql(columns: list[str], source: str) -> str:
+def _box_sql(columns: list[str], source: str, by: str = "visit") -> str:
     def one(c: str) -> str:
-        return f"""select b.visit, '{c}' as metric, {r('any_value(q1)', 'q1')}, {r('any_value(q2)', 'median')},
+        return f"""select {by}, '{c}' as metric, {r('any_value(q1)', 'q1')}, {r('any_value(q2)', 'median')},
         {r('any_value(q3)', 'q3')},
         {r(f'min({c}) filter (where {c} between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1))', 'lower')},
         {r(f'max({c}) filter (where {c} between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1))', 'upper')},
         count(*) filter (where not ({c} between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1))) as n_outliers,
         count({c}) as n
-        from {source} t join (select visit, quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.5) as q2,
-          quantile_cont({c}, 0.75) as q3 from {source} group by visit) b on t.visit = b.visit
-        where {c} is not null group by b.visit"""
+        from {source} t join (select {by}, quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.5) as q2,
+          quantile_cont({c}, 0.75) as q3 from {source} group by {by}) b using ({by})
+        where {c} is not null group by {by}"""
 
     return " union all ".join(one(c) for c in columns)
 
@@ -157,6 +157,55 @@ def _(spark, sf):
     return rounded(visit_box_whisker(catalogue(spark, sf), SERIES))
 
 
-@check("visit_box_whisker_events", with_ctes(_box_sql(["value", "square"], "ev"), ev=_EVENTS))
+@check("visit_box_whisker_minmax", with_ctes(_box_sql(SERIES, "scaled"), "nrm", scaled=_MINMAX))
+def _(spark, sf):
+    return rounded(visit_box_whisker(catalogue(spark, sf), SERIES, normalizer="minmax"))
+
+
+@check("visit_box_whisker_robust", with_ctes(_box_sql(SERIES, "scaled"), "nrm", scaled=_ROBUST))
+def _(spark, sf):
+    return rounded(visit_box_whisker(catalogue(spark, sf), SERIES, normalizer="robust"))
+
+
+def _scaled_by_key(columns: list[str], keys: str) -> str:
+    """Every row scaled to [0, 1] within its key."""
+    cols = [
+        f"""({c} - min({c}) over w) / (case when max({c}) over w = min({c}) over w then 1e0
+        else max({c}) over w - min({c}) over w end) as {c}"""
+        for c in columns
+    ]
+    return f"select {keys}, visit, {', '.join(cols)} from nrm window w as (partition by {keys})"
+
+
+@check("visit_box_whisker_by_band", with_ctes(_box_sql(SERIES, "scaled", "band, visit"), "nrm", scaled=_scaled_by_key(SERIES, "band")))
+def _(spark, sf):
+    return rounded(visit_box_whisker(catalogue(spark, sf), SERIES, normalizer="minmax", by=["band"]))
+
+
+def _by_key_sql(value: str, name: str, count: str, keys: str) -> str:
+    return " union all ".join(
+        f"""select {keys}, visit, '{c}' as metric, {count.format(c)} {r(value.format(c), name)} from scaled
+        where {c} is not null group by {keys}, visit"""
+        for c in SERIES
+    )
+
+
+@check(
+    "visit_minmax_mean_by_tract",
+    with_ctes(_by_key_sql("avg({})", "mean", "count({}) as n,", "band, tract"), "nrm", scaled=_scaled_by_key(SERIES, "band, tract")),
+)
+def _(spark, sf):
+    return rounded(visit_normalized(catalogue(spark, sf), SERIES, "minmax", keys=["band", "tract"]).drop("std"))
+
+
+@check(
+    "visit_minmax_median_by_tract",
+    with_ctes(_by_key_sql("median({})", "median", "", "band, tract"), "nrm", scaled=_scaled_by_key(SERIES, "band, tract")),
+)
+def _(spark, sf):
+    return rounded(visit_minmax_median(catalogue(spark, sf), SERIES, keys=["band", "tract"]))
+
+
+@check("visit_box_whisker_events",with_ctes(_box_sql(["value", "square"], "ev"), ev=_EVENTS))
 def _(spark, sf):
     return rounded(visit_box_whisker(_events(spark, sf), ["value", "square"]))

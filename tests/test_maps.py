@@ -225,3 +225,22 @@ def test_box_whisker(spark, limit):
     assert len(got) == 1
     r = got[0]
     assert (r.q1, r.median, r.q3, r.lower, r.upper, r.n_outliers, r.n) == (3.25, 5.5, 7.75, 1.0, 9.0, 1, 10)
+    for normalizer, centre, scale in (("minmax", 1.0, 99.0), ("robust", 5.5, 4.5)):
+        (s,) = visit_box_whisker(df, ["m"], max_group_rows=limit, normalizer=normalizer).collect()
+        want = [(v - centre) / scale for v in (r.q1, r.median, r.q3, r.lower, r.upper)]
+        assert [s.q1, s.median, s.q3, s.lower, s.upper] == pytest.approx(want)
+        assert (s.n_outliers, s.n) == (1, 10)
+
+
+def test_keys_are_normalised_by_themselves(spark):
+    rows = [("a", 1, 0.0), ("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 10.0), ("b", 2, 30.0), (None, 1, 5.0)]
+    df = spark.createDataFrame(rows, "k string, visit int, m double")
+    want = {("a", 1): 0.25, ("a", 2): 1.0, ("b", 1): 0.0, ("b", 2): 1.0, (None, 1): 0.0}
+    mean = visit_normalized(df, ["m"], "minmax", keys=["k"]).collect()
+    assert {(r.k, r.visit): r["mean"] for r in mean} == want
+    assert {(r.k, r.visit): r.median for r in visit_minmax_median(df, ["m"], keys=["k"]).collect()} == want
+    boxes = visit_box_whisker(df, ["m"], normalizer="minmax", by=["k"]).collect()
+    assert {(r.k, r.visit): r.median for r in boxes} == want
+    robust = visit_normalized(df, ["m"], "robust", keys=["k"]).collect()
+    got = {(r.k, r.visit): r["mean"] for r in robust}
+    assert got == {("a", 1): -0.5, ("a", 2): 1.0, ("b", 1): -1.0, ("b", 2): 1.0, (None, 1): 0.0}
