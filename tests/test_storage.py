@@ -34,6 +34,7 @@ from skyqa.sources.readers import (
 from skyqa.streaming.incremental import append_new_files
 
 KEYS = ["filter", "tract"]
+from skyqa.sources import layout, readers
 
 
 @pytest.fixture
@@ -229,3 +230,33 @@ def test_write_stats_replaces(spark, rows):
     write_stats(rows.limit(5), path)
     write_stats(rows.limit(2), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_polygons_of_several_parts_and_positions(spark, tmp_path):
+    square = [[[0, 0], [1, 0], [1, 1], [0, 0]]]
+    shapes = [("Polygon", square), ("MultiPolygon", [square, [[[5, 5], [6, 5], [5, 5]]]]), ("Point", [1, 2])]
+    features = [{"type": "Feature", "properties": {"n": k}, "geometry": {"type": k, "coordinates": c}} for k, c in shapes]
+    features.append({"type": "Feature", "properties": {"n": "none"}, "geometry": None})
+    path = tmp_path / "shapes.json"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
+    got = readers.read_geojson(spark, str(path), {"n": "string"}).orderBy("feature", "part").collect()
+    assert [(r.n, r.feature, r.part, r.ring and len(r.ring)) for r in got] == [
+        ("Polygon", 0, 0, 4), ("MultiPolygon", 1, 0, 4), ("MultiPolygon", 1, 1, 3), ("Point", 2, 0, None), ("none", 3, 0, None)
+    ]
+    assert (got[2].ring[1].x, got[2].ring[1].y) == (6.0, 5.0)
+    assert readers.read_geojson(spark, str(path), {}).columns == ["feature", "part", "ring"]
+
+
+def test_half_written_statistics_are_made_anew(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    layout.load_stats(spark, path, lambda: spark.range(3))
+    assert layout.load_stats(spark, path, lambda: spark.range(9)).count() == 3
+    (tmp_path / "stats" / "_SUCCESS").unlink()
+    assert layout.load_stats(spark, path, lambda: spark.range(9)).count() == 9
+
+
+def test_numbered_boxes_need_one_file(spark, tmp_path):
+    path = str(tmp_path / "boxes")
+    spark.range(4).selectExpr("id + 0.5 as x0").repartition(2).write.option("header", "true").csv(path)
+    with pytest.raises(ValueError, match="several files"):
+        readers.read_skymap_csv(spark, path)
