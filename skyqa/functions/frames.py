@@ -13,6 +13,8 @@ from skyqa.functions.clean import named
 
 #: Rows up to which a materialised side is broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 200_000
+#: Bytes of their text form up to which this holds.
+BROADCAST_BYTES = 64 << 20
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -46,12 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows.
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting the rows and the bytes of their text form.
 
     Meant for a frame that is cheap to count: one that was :func:`cut` or a file listing.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    text = F.to_json(F.struct(*[named(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    found = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= limit and (found["bytes"] or 0) <= size else df
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

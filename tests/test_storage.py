@@ -218,6 +218,10 @@ def test_broadcast_is_checked(spark):
 
     df = spark.range(100)
     assert hinted(df, 100) and not hinted(df, 99)
+    wide = df.withColumn("text", F.repeat(F.lit("x"), 1000))
+    for size, want in ((200_000, True), (50_000, False)):
+        plan = broadcast_if_small(wide, 100, size)._jdf.queryExecution().logical().toString().lower()
+        assert ("broadcast" in plan) == want
 
 
 def test_shared_folder_is_the_session_s(spark):
