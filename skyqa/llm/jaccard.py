@@ -8,7 +8,8 @@ extended until, over its classes, the tokens beyond the first of each make up wh
 either a rare token or two frequent tokens of one class. Candidates are verified on the whole sets.
 
 Texts with equal sets are one node. In each list the candidates are first compared with the smallest node only. Where all
-members end up in one component, no other pair can change it; all other pairs of the list are compared.
+members end up in one component, no other pair can change it. The other lists are compared in more stars, with the
+components joined after each round, until all pairs that are still across components are compared.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ SHINGLE, PERCENT = 5, 80
 #: Documents from which a token is frequent, and how many tokens may be (the most frequent; 8 bytes each in every task).
 #: Which tokens are frequent steers the work only; any choice gives the same groups.
 FREQUENT, FREQUENT_TOKENS = 16, 1 << 19
+#: Lists of each node, and members of a list that all others there are compared with, round by round, before all pairs
+#: across components are. They steer the work only.
+STAR_ROUNDS = ((24, 4), (1 << 30, 24))
 #: Tokens of one task of the counting stage, and members of a list that are verified in one group.
 COUNTED, VERIFIED = 4_000_000, 256
 #: Columns of 64 bits that say which hash cells a set's tokens fill: a cell filled in one set only is a token missing.
@@ -272,32 +276,22 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     links = cut(_verify(_fitting(near, percent), known, holders.select("node", "doc_id"), percent, size))
     found = cut(components(links))
 
-    # a list whose members all link with its first is done; in the others all pairs across components are compared,
-    # but for those whose bitmaps show that too many tokens differ
+    # a list whose members all link with its first is done. In the others more stars are compared, few at first, as each
+    # link spares the pairs of two components; in the end all pairs still across components are, but for those
+    # whose bitmaps show that too many tokens differ
     apart = broadcast_if_small(cut(near.select("a", "b").join(links, ["a", "b"], "left_anti")))
     open_lists = broadcast_if_small(cut(shared.join(apart, ["a", "b"]).select("sig").distinct()))
     members = shared.join(open_lists, "sig", "left_semi").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
-    members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = cut(members.join(holders.drop("doc_id"), "node"))
-    spread = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    members = members.join(spread.select("sig"), "sig")
-    other = members.select("sig", *(F.col(c).alias(f"b_{c}") for c in members.columns if c != "sig"))
-    own_only, other_only = (
-        sum((F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}{w}")))) for w in _WORDS), F.lit(0))
-        for x, y in (("", "b_"), ("b_", ""))
-    )
-    enough = percent * (F.col("n") + F.col("b_n"))  # 100 + percent times the tokens that similar sets share at least
-    fits = ((F.col("n") - own_only) * (100 + percent) >= enough) & ((F.col("b_n") - other_only) * (100 + percent) >= enough)
-    more = (
-        members.join(other, "sig")
-        .where("node < b_node and component <> b_component")
-        .where(fits)
-        .select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("b_node").alias("b"), "b_n")
-    )
-    more = cut(_fitting(more, percent).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = cut(links.unionByName(_verify(more, known, holders.select("node", "doc_id"), percent, size)))
-        found = cut(components(links))
+    bitmaps, held = holders.drop("doc_id"), ["sig", "node", "n"]
+    for stars in (*STAR_ROUNDS, None):
+        members = cut(_across(members.select(*held), found).join(bitmaps, "node"))
+        if members.isEmpty():
+            break
+        pairs = _every_pair(members, percent) if stars is None else _stars(members, *stars, percent)
+        more = cut(_fitting(pairs, percent).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = cut(links.unionByName(_verify(more, known, holders.select("node", "doc_id"), percent, size)))
+            found = cut(components(links))
 
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = degree.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
@@ -316,6 +310,50 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     )
 
 
+def _across(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members ``sig, node, n`` with their ``component``, of the lists that hold more than one component."""
+    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return placed.join(spread.select("sig"), "sig")
+
+
+def _paired(members: DataFrame, other: DataFrame, percent: int, which: str = "true") -> DataFrame:
+    """Pairs ``a, a_n, b, b_n`` (``a`` the smaller node) of one list and two components whose bitmaps fit."""
+    other = other.select("sig", *(F.col(c).alias(f"o_{c}") for c in other.columns if c != "sig"))
+    only_one, only_other = (
+        sum((F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}{w}")))) for w in _WORDS), F.lit(0))
+        for x, y in (("", "o_"), ("o_", ""))
+    )
+    enough = percent * (F.col("n") + F.col("o_n"))  # 100 + percent times the tokens that similar sets share at least
+    joined = (
+        members.join(other, "sig")
+        .where("component <> o_component")
+        .where(which)
+        .where(((F.col("n") - only_one) * (100 + percent) >= enough) & ((F.col("o_n") - only_other) * (100 + percent) >= enough))
+    )
+    low, high = (pick(F.struct("node", "n"), F.struct(F.col("o_node").alias("node"), F.col("o_n").alias("n"))) for pick in (F.least, F.greatest))
+    return joined.select(low.alias("low"), high.alias("high")).select(
+        F.col("low.node").alias("a"), F.col("low.n").alias("a_n"), F.col("high.node").alias("b"), F.col("high.n").alias("b_n")
+    )
+
+
+def _every_pair(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of each list that are across components."""
+    return _paired(members, members, percent, "node < o_node")
+
+
+def _stars(members: DataFrame, lists_each: int, hubs: int, percent: int) -> DataFrame:
+    """Each node takes part in ``lists_each`` of its lists; there, ``hubs`` members are paired with those of other components.
+
+    Lists are taken by hash of their signature, so that similar sets, which share lists, take the same ones. Hubs are
+    taken by hash of the node, so that lists of the same members have the same hubs.
+    """
+    first, lowest = Window.partitionBy("node").orderBy(F.xxhash64("sig"), "sig"), Window.partitionBy("sig").orderBy(F.xxhash64("node"), "node")
+    taken = members.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= lists_each).drop("__rank")
+    fronts = taken.withColumn("__rank", F.row_number().over(lowest)).where(F.col("__rank") <= hubs).drop("__rank")
+    return _paired(taken, fronts, percent)
+
+
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the similarity."""
     return pairs.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent).select("a", "b")
