@@ -10,6 +10,8 @@ either a rare token or two frequent tokens of one class. Candidates are verified
 Texts with equal sets are one node. In each list the candidates are first compared with the smallest node only. Where all
 members end up in one component, no other pair can change it. The other lists are compared in more stars, with the
 components joined after each round, until all pairs that are still across components are compared.
+
+Links never leave a component. Once these are known, all pairs of nodes inside each are compared and counted, block by block.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ FREQUENT, FREQUENT_TOKENS = 16, 1 << 19
 STAR_ROUNDS = ((24, 4), (1 << 30, 24))
 #: Tokens of one task of the counting stage, and members of a list that are verified in one group.
 COUNTED, VERIFIED = 4_000_000, 256
+#: Nodes and tokens of a block of a component when its links are counted; every block meets every other once.
+BLOCK_NODES, BLOCK_TOKENS = 2048, 2_000_000
 #: Columns of 64 bits that say which hash cells a set's tokens fill: a cell filled in one set only is a token missing.
 _WORDS = [f"w{i}" for i in range(8)]
 #: Share of each set's first tokens (by hash) that are counted; prefixes lie among them unless most are frequent.
@@ -209,7 +213,8 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     """``doc_id, n_shingles, component_id, n_links`` of every row of ``docs(doc_id, text)``.
 
     Sets link when ``100 * |intersection| >= percent * |union|``. ``component_id`` is the smallest doc_id that links
-    reach. Equal sets that are not empty always link. A text without words (or NULL) links with nothing. ``n_links`` counts the verified links of the row's set to other sets, of those that were needed. Rows with a
+    reach. Equal sets that are not empty always link. A text without words (or NULL) links with nothing. ``n_links`` counts
+    all links of the row's set to other sets; rows of equal sets are one set there. Rows with a
     NULL doc_id form no link and are their own (NULL) component; rows that repeat a doc_id are rows of their own.
     Other columns are ignored.
     """
@@ -271,7 +276,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
 
     near = cut(shared.where("a <> b").select("a", "a_n", "b", "b_n").distinct())
     holders = sets.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), *(F.max(w).alias(w) for w in _WORDS)
+        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *(F.max(w).alias(w) for w in _WORDS)
     )
     links = cut(_verify(_fitting(near, percent), known, holders.select("node", "doc_id"), percent, size))
     found = cut(components(links))
@@ -282,7 +287,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     apart = broadcast_if_small(cut(near.select("a", "b").join(links, ["a", "b"], "left_anti")))
     open_lists = broadcast_if_small(cut(shared.join(apart, ["a", "b"]).select("sig").distinct()))
     members = shared.join(open_lists, "sig", "left_semi").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
-    bitmaps, held = holders.drop("doc_id"), ["sig", "node", "n"]
+    bitmaps, held = holders.drop("doc_id", "n"), ["sig", "node", "n"]
     for stars in (*STAR_ROUNDS, None):
         members = cut(_across(members.select(*held), found).join(bitmaps, "node"))
         if members.isEmpty():
@@ -293,8 +298,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
             links = cut(links.unionByName(_verify(more, known, holders.select("node", "doc_id"), percent, size)))
             found = cut(components(links))
 
-    degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = degree.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+    degree = _degrees(found, known, holders.select("node", "doc_id", "n"), percent, size)
     nodes = holders.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     nodes = nodes.join(smallest, "component").join(degree, "node", "left").select("node", "component_id", "n_links")
@@ -405,3 +409,115 @@ def _verify(pairs: DataFrame, texts: DataFrame, holders: DataFrame, percent: int
                 yield pa.RecordBatch.from_arrays([pa.array(groups[pick]), pa.array(nodes[pick])], ["a", "b"])
 
     return sent.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _degrees(found: DataFrame, texts: DataFrame, holders: DataFrame, percent: int, size: int) -> DataFrame:
+    """``node, n_links`` of every node of the components ``found``: with how many others it links.
+
+    All pairs inside each component are compared, in blocks: a text travels once to each block of its own component,
+    so just once where the component is one block. Two nodes alone have the one link that joined them.
+    """
+    placed = cut(found.join(holders, "node"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    sizes = broadcast_if_small(cut(placed.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), blocks.alias("blocks"))))
+    placed = placed.join(sizes, "component")
+    seats = cut(placed.where("nodes > 2").select("component", "blocks", "node", "doc_id"))
+    if seats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then the other texts stay where they are
+        texts = texts.join(F.broadcast(seats.select("doc_id").distinct()), "doc_id", "left_semi")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("other")
+    sent = (
+        texts.join(seats, "doc_id")
+        .withColumn("own", own)
+        .select("component", "own", "node", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("component", F.least("own", other).alias("low"), F.greatest("own", other).alias("high"), "own", "node", "text")
+        .repartition("component", "low", "high")
+        .sortWithinPartitions("component", "low", "high")
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            owns, nodes = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for at, to, data, offsets in text_blocks(batch.column(5)):
+                token, first = shingle_sets(data, offsets, size)
+                real = _nodes(token, first)
+                for i in range(at, to):
+                    if keys[i] != group:
+                        yield _counted(group, held, percent)
+                        group, held = keys[i], {}
+                    if real[i - at] == nodes[i]:  # else another row of that doc_id
+                        held[nodes[i]] = owns[i], token[first[i - at] : first[i - at + 1]].copy()
+        yield _counted(group, held, percent)
+
+    counted = sent.mapInArrow(count, "node long, n_links long")
+    two = placed.where("nodes = 2").select("node", F.lit(1).cast("long").alias("n_links"))
+    return counted.unionByName(two).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def _counted(group: tuple | None, held: dict[int, tuple[int, np.ndarray]], percent: int) -> pa.RecordBatch:
+    """Links that each node of the blocks ``(component, low, high)`` has with those of the other, or within one block."""
+    nodes, links = [], [np.zeros(0, np.int64)]
+    if held:
+        low, high = ([(k, token) for k, (own, token) in held.items() if own == part] for part in group[1:])
+        to_low, to_high = degrees([t for _, t in low], [t for _, t in high], percent)
+        nodes, links = [k for k, _ in low], [to_low - (group[1] == group[2])]  # without the set itself
+        if group[1] != group[2]:
+            nodes += [k for k, _ in high]
+            links.append(to_high)
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(links))], ["node", "n_links"])
+
+
+def degrees(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """With how many sets of ``right`` each set of ``left`` reaches the similarity, and the other way round."""
+    common = _common(left, right)
+    n, other = (np.array([len(t) for t in side], np.int64) for side in (left, right))
+    to_left, to_right = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    for at in range(0, len(left), 256):
+        part = slice(at, at + 256)
+        linked = (100 + percent) * common[part].astype(np.int64) >= percent * (n[part, None] + other)
+        to_left[part] = linked.sum(axis=1)
+        to_right += linked.sum(axis=0)
+    return to_left, to_right
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of ``left`` shares with each of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    if not left or not right:
+        return out
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(shared):
+        return out
+
+    def place(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        token, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+        where = np.minimum(np.searchsorted(shared, token), len(shared) - 1)
+        keep = shared[where] == token
+        where, doc = where[keep], doc[keep]
+        order = np.argsort(where, kind="stable")
+        return where[order], doc[order]
+
+    (a, a_doc), (b, b_doc) = place(left), place(right)
+    a_n, b_n = np.bincount(a, minlength=len(shared)), np.bincount(b, minlength=len(shared))
+    dense = a_n * b_n * 64 >= out.size  # tokens of many pairs: a product of matrices; the others pair by pair
+    column = np.cumsum(dense) - 1
+    for at in range(0, int(dense.sum()), 2048):
+        sides = []
+        for where, doc, rows in ((a, a_doc, len(left)), (b, b_doc, len(right))):
+            use = dense[where] & (column[where] >= at) & (column[where] < at + 2048)
+            side = np.zeros((rows, 2048), np.float32)
+            side[doc[use], column[where[use]] - at] = 1
+            sides.append(side)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int32)
+    start = np.cumsum(b_n) - b_n
+    a, a_doc = a[~dense[a]], a_doc[~dense[a]]
+    edge = np.concatenate([[0], np.cumsum(b_n[a])])
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + (1 << 21), "right")) - 1)
+        n = b_n[a[at:to]]
+        partner = b_doc[np.repeat(start[a[at:to]] - (edge[at:to] - edge[at]), n) + np.arange(int(n.sum()))]
+        out += np.bincount(np.repeat(a_doc[at:to], n) * len(right) + partner, minlength=out.size).reshape(out.shape).astype(np.int32)
+        at = to
+    return out
