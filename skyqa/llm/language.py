@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyqa.functions.frames import cut
+from skyqa.functions.frames import cut, join_on
 from skyqa.llm.words import PLAIN, find_words, list_array, mix, text_blocks
 
 #: Hashed places of trigrams; languages that a model may have; share of the text evidence (trigrams overlap).
@@ -108,7 +108,7 @@ def identify(
                     ["page", "declared", "host", "said"],
                 )
 
-    host = F.nullif(F.lower(F.regexp_extract(F.col(url), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
+    host = F.nullif(F.lower(F.regexp_extract(F.col(url), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+?)\.*(?:[/:?#]|$)", 1)), F.lit(""))
     seen = pages.select(
         F.col(id_column).cast("long").alias("page"), F.col(html).alias("html"), _declared(F.col(html)).alias("declared"), host.alias("host")
     ).mapInArrow(likelihood, "page long, declared string, host string, said array<double>")
@@ -132,8 +132,7 @@ def identify(
     by_suffix = level(by_domain, ["suffix"], "n_domain", "n_suffix")
     everything = level(by_suffix, [], "n_suffix", "n_all")
     prior = cut(
-        by_host.join(by_domain.drop("suffix"), by_host.domain.eqNullSafe(by_domain.domain)).drop(by_domain.domain)
-        .join(by_suffix, by_host.suffix.eqNullSafe(by_suffix.suffix)).drop(by_suffix.suffix)
+        join_on(join_on(by_host, by_domain, ["domain", "suffix"]), by_suffix, ["suffix"])  # hosts without a dot share the domain ''
         .crossJoin(F.broadcast(everything))  # one row
         .select("host", *(f"n_{x}" for x in ("host", "domain", "suffix", "all")))
     )
