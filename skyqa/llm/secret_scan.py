@@ -1,8 +1,9 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of at least ``SHORTEST`` key characters with a digit, or with capitals after small letters.
+A candidate is a run of at least ``SHORTEST`` key characters with ``DISTINCT`` different ones; ``=`` belongs to its end only.
 The forest sees its length, how its characters follow each other, how much of it dictionary words of
-the corpus cover, the path of the document and the words around it. It learns from labelled findings.
+the corpus cover, the path of the document and the words around it. It learns from labelled findings; without
+any, from what :func:`judge` can tell of the corpus and from :func:`planted_findings`.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from skyqa.functions.frames import cut
 from skyqa.llm.words import PLAIN, find_words, text_blocks
 
 SHORTEST, AROUND = 16, 48
+#: Different characters of a candidate: fewer are a ruled line or a filler.
+DISTINCT = 4
 #: Labelled findings that are fitted at most, words of the dictionary, trees and their depth.
 FIT_FINDINGS, DICTIONARY, TREES, DEPTH = 20_000, 4096, 24, 7
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{%d,}" % SHORTEST)
-_SHAPE = re.compile(r"[0-9]|[a-z][A-Z]")
+# A name ends at its "=" or ":"; a "=" is padding only where no value follows it.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{%d,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?" % SHORTEST)
 # Words beside a finding that name a credential, or something that only looks like one.
 _NAMES = re.compile(r"token|secret|passw|api.?key|auth|credential|private|access.?key", re.IGNORECASE)
 _OTHERS = re.compile(r"sha|md5|commit|checksum|hash|uuid|digest|iban|card|order|isbn|phone", re.IGNORECASE)
@@ -34,6 +37,21 @@ _CONFIG = re.compile(r"conf|env|settings|\.ya?ml|\.ini|\.properties|secret", re.
 _SAMPLES = re.compile(r"test|example|sample|mock|fixture|doc", re.IGNORECASE)
 _ASSIGNED = re.compile(r"[=:]\s*[\"'`]?$")
 _VOWEL = re.compile("[aeiouy]")
+# What :func:`judge` goes by. The name just before a value, headers, and prefixes that issuers give their keys.
+_LAST_NAME = re.compile(r"([A-Za-z][\w.\-]*(?: (?:key|token|secret))?)[\"'`\]]{0,2}\s{0,3}(?::=|=>|[=:])\s{0,3}[\"'`]?$", re.IGNORECASE)
+_HEADER = re.compile(r"authorization[\"']?\s*[:=]\s*[\"']?(?:[a-z]+\s+)?$|\bBearer\s+$", re.IGNORECASE)
+_KNOWN_KEY = re.compile(
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{20,}|glpat-[\w\-]{20,}|[sr]k_(?:live|test)_\w{16,}"
+    r"|xox[abprs]-[\w\-]{10,}|AIza[\w\-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}"
+)
+_NAMED_OTHER = re.compile(
+    r"(?:^|[^a-z0-9])(?:sha-?\d*|md5|commit|revision|checksum|hash|uuid|guid|digest|etag|iban|card(?: (?:no|number))?|order|isbn|phone)"
+    r"(?:[ _-]?(?:id|no|number|sum))?[\"'`\])]{0,2}[\s:=#\-]{0,4}[\"'`]?$",
+    re.IGNORECASE,
+)
+_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
+_WORDS_ONLY = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[\-_/+]+(?:[A-Z]?[a-z]+|[A-Z]+))*[\-_/+]*|[a-z]*(?:[A-Z][a-z]+)*")
+_FILLER = re.compile(r"example|placeholder|change.?me|your|dummy|redacted|x{5}|\.\.\.", re.IGNORECASE)
 
 FEATURES = (
     "length", "class changes", "digits", "capitals", "signs", "entropy", "surprise", "vowels",
@@ -112,8 +130,11 @@ class Features:
 def candidates(text: str | None) -> Iterator[tuple[int, int]]:
     """Character ranges of all candidates of a text."""
     for m in _CANDIDATE.finditer(text or ""):
-        if _SHAPE.search(m[0]):
-            yield m.span()
+        start, end = m.span()
+        if text[end - 1] == "=" and text[end : end + 1] in ("\"", "'", "`") and text[start - 1 : start] != text[end : end + 1]:
+            end = start + len(m[0].rstrip("="))  # a name before a quoted value
+        if end - start >= SHORTEST and len(set(text[start:end])) >= DISTINCT:
+            yield start, end
 
 
 class Forest:
@@ -161,34 +182,109 @@ def _walk(tree: tuple | float, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def judge(text: str, start: int, end: int) -> int | None:
+    """Whether the candidate is a secret by what is written beside it and by its own form; None if these cannot tell.
+
+    1: a known key prefix, a value assigned to a credential's name (quoted, bare, ``.env`` or YAML), an authorization
+    header. 0: digests, card numbers, orders and identifiers named as such, UUIDs, numbers with a card's check digit,
+    names that are themselves assigned to, and words in running text.
+    """
+    found = text[start:end]
+    before, after = text[max(0, start - AROUND) : start].split("\n")[-1], text[end : end + AROUND].split("\n")[0]
+    if _FILLER.search(found):
+        return None
+    if _KNOWN_KEY.match(found):
+        return 1
+    wordy = bool(_WORDS_ONLY.fullmatch(found))
+    several = len(re.findall(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}", found)) > 1
+    if wordy and re.match(r"[\"'\]]?\s*[=:]", after):
+        return 0
+    other = bool(_NAMED_OTHER.search(before))
+    name = _LAST_NAME.search(before)
+    if (name and _NAMES.search(name[1])) or _HEADER.search(before):
+        return None if other or (wordy and several) else 1
+    if other:
+        return 0
+    if _NAMES.search(before):
+        return None
+    if _UUID.fullmatch(found) or (found.isdigit() and _card(found)):
+        return 0
+    if wordy and not name and 5 * len(_VOWEL.findall(found.lower())) >= len(found):
+        return 0
+    return None
+
+
+def _card(digits: str) -> bool:
+    """Whether a number has the length and the check digit of a card's."""
+    double = [sum(divmod(2 * int(c), 10)) for c in digits[-2::-2]]
+    return 13 <= len(digits) <= 19 and (sum(double) + sum(int(c) for c in digits[-1::-2])) % 10 == 0
+
+
+def planted_findings(each: int = 12, seed: int = 11) -> list[tuple[str, int, int, str | None, int]]:
+    """Made-up findings ``text, start, end, path, label`` of every kind that :func:`judge` knows.
+
+    So that a forest has seen each kind, and both labels, whatever a corpus happens to hold.
+    """
+    draw = np.random.default_rng(seed)
+    some = lambda letters, n: "".join(draw.choice(list(letters), n))
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed, hexes = small + small.upper() + digits, digits + "abcdef"
+    keys = [lambda: some(hexes, 40), lambda: some(hexes, 32), lambda: some(mixed, 40), lambda: some(small, 24), lambda: some(small.upper(), 20)]
+    digests = [lambda: some(hexes, 40), lambda: some(hexes, 64), lambda: some(hexes, 32)]
+    syllables = "tion ment er en re an al ing is on the ver con pro de ly ness able inter".split()
+    words = [lambda: "".join(draw.choice(syllables, 7)), lambda: "_".join(draw.choice(syllables, 6)), lambda: "/".join(draw.choice(syllables, 6))]
+    number, uuid = [lambda: some(digits, 16)], [lambda: "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12))]
+    kinds = [
+        (1, keys, ['token = "{}"', "token = {}", "api_key: {}", "API_SECRET={}", "AWS_SECRET_ACCESS_KEY={}", "password='{}'", "export AUTH_TOKEN={}",
+                   "Authorization: Bearer {}", '"client_secret": "{}"', "here the access key: {} and so on"]),
+        (1, [lambda: "AKIA" + some(small.upper() + digits, 16), lambda: "ghp_" + some(mixed, 36)], ["{}", "with {} in it", "key = {}"]),
+        (0, digests, ["commit {} was merged", "sha256: {}", "md5 = {}", 'checksum = "{}"', "digest={}"]),
+        (0, number, ["card {}", "card number: {}", "order {} of the day", "paid with {} this time"]),
+        (0, uuid, ["{}", "uuid: {}", "id = {}"]),
+        (0, words, ["{}", "and {} of the", "{} = 5", "{}: some"]),
+    ]
+    rows = []
+    for label, values, frames in kinds:
+        for frame in frames:
+            front, rest = frame.split("{}")
+            for k in range(each):
+                value, lead = values[k % len(values)](), " ".join(draw.choice(syllables, 4)) + " " if k % 2 else ""
+                if len(value) >= SHORTEST:
+                    rows.append((lead + front + value + rest, len(lead + front), len(lead + front + value), None, label))
+    return rows
+
+
+_FINDING = "text string, start int, end int, path string, label int"
+
+
 def labelled_findings(docs: DataFrame, path: Column, limit: int = FIT_FINDINGS) -> DataFrame:
-    """Findings of ``docs(doc_id, text)`` labelled by rule: ``text, start, end, path, label``.
+    """Findings of ``docs(doc_id, text)`` that :func:`judge` can label, and planted ones: ``text, start, end, path, label``.
 
-    Label 1: a credential's name, an assignment and a quote stand before it. Label 0: any other candidate. At most
-    ``limit`` findings, half of each label at most, taken by hash of their text. For a corpus without a
-    labelled set; where there is one, give that to :func:`fit`.
+    What it cannot judge is left out. At most ``limit`` findings, half of each label at most, taken by hash of
+    their text. For a corpus without a labelled set; where there is one, give that to :func:`fit`.
     """
+    planted = planted_findings()
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, where in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for start, end in candidates(text):
-                    at = max(0, start - AROUND)
-                    before = text[at:start].split("\n")[-1]
-                    named = bool(_NAMES.search(before)) and bool(_ASSIGNED.search(before)) and before[-1:] in "\"'`"
-                    rows.append((text[at : end + AROUND], start - at, end - at, where, int(named)))
+                    label = judge(text, start, end)
+                    if label is not None:
+                        at = max(0, start - AROUND)
+                        rows.append((text[at : end + AROUND], start - at, end - at, where, label))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["text", "start", "end", "path", "label"]
             )
 
-    rows = docs.select("text", path.cast("string").alias("path")).mapInArrow(
-        find, "text string, start int, end int, path string, label int"
-    )
+    rows = docs.select("text", path.cast("string").alias("path")).mapInArrow(find, _FINDING)
     order = F.xxhash64("text", "start")
-    halves = [rows.where(F.col("label") == k).orderBy(order, "text", "start", "path").limit(limit // 2) for k in (0, 1)]
-    return halves[0].unionByName(halves[1])
+    half = (limit - len(planted)) // 2
+    halves = [rows.where(F.col("label") == k).orderBy(order, "text", "start", "path").limit(half) for k in (0, 1)]
+    return halves[0].unionByName(halves[1]).unionByName(docs.sparkSession.createDataFrame(planted, _FINDING))
 
 
 def fit(findings: DataFrame, words: dict[str, int]) -> Forest | float:
