@@ -45,9 +45,14 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and the logarithm of each trigram's share in them, from all rows with a language and text."""
+    """Languages and the logarithm of each trigram's share in them, from all rows with a language and text.
+
+    More than ``LANGUAGES`` values are an error: no language is left out.
+    """
     names = [r[0] for r in labelled.where(F.col(language).isNotNull()).groupBy(language).count()
-             .orderBy(F.desc("count"), language).limit(LANGUAGES).select(language).collect()]
+             .orderBy(F.desc("count"), language).limit(LANGUAGES + 1).select(language).collect()]
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: those beyond could never be named")
     names.sort()
     number = {n: i for i, n in enumerate(names)}
 
