@@ -72,7 +72,7 @@ for _c in range(65, 91):
     _WORDS[_c] = _c + 32
 _WORDS = bytes(_WORDS)
 
-_TAG_LINE = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_TAG_LINE = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*?)(?=spdx-license-identifier\s*:|[\r\n]|\Z)", re.IGNORECASE)
 _PART = re.compile(r"[()]|[A-Za-z0-9.+:-]+|\S")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -84,22 +84,27 @@ def parse(expression: str) -> tuple[frozenset[str], float] | None:
 
     Operators are moved behind their operands with a stack (``with`` before ``and`` before ``or``) and then
     evaluated: ``or`` is as free as its freer side, ``and`` as its stricter one; an exception after
-    ``with`` frees its licence by half of what is missing. Comment ends after the expression are left out.
+    ``with`` frees its licence by half of what is missing. Comment ends after the expression are left out. At a part that
+    cannot continue it, the longest whole expression before that part counts; a full stop ends it as well.
     """
     parts = _PART.findall(re.split(r"\*/|-->", expression)[0])
     output: list[str] = []
     stack: list[str] = []
     operand_next = True
+    whole: list[str] | None = None
     for part in parts:
         low = part.lower()
         if operand_next:
             if low == "(":
                 stack.append("(")
                 continue
+            low = low.rstrip(".:")
             if low in _RANK or not re.fullmatch(r"[a-z0-9.+:-]+", low):
-                return None
+                break
             output.append(low)
             operand_next = False
+            if len(low) < len(part) and "(" not in stack:
+                return _evaluate([*output, *reversed(stack)])
         elif low in _RANK:
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 output.append(stack.pop())
@@ -109,13 +114,15 @@ def parse(expression: str) -> tuple[frozenset[str], float] | None:
             while stack and stack[-1] != "(":
                 output.append(stack.pop())
             if not stack:
-                return None
+                break
             stack.pop()
         else:
-            return None
-    if operand_next or "(" in stack:
-        return None
-    return _evaluate([*output, *reversed(stack)])
+            break
+        if not operand_next and "(" not in stack:
+            whole = [*output, *reversed(stack)]
+    else:
+        return None if operand_next or "(" in stack else _evaluate([*output, *reversed(stack)])
+    return _evaluate(whole) if whole else None
 
 
 def _evaluate(postfix: list[str]) -> tuple[frozenset[str], float]:
