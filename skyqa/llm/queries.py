@@ -11,6 +11,7 @@ from skyqa.functions.frames import scratch_path
 from skyqa.llm import (
     decontaminate,
     divergence,
+    embedding_dedup,
     filter_audit,
     jaccard,
     language,
@@ -73,6 +74,10 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nearest_neighbours,
         op9_token_files,
         op10_license_scan,
+        op11_embedding_dedup,
         op12_filter_audit,
         op13_source_divergence,
         pipeline,
@@ -124,6 +130,25 @@ with words as (
 select doc_id, len(w)::bigint as n_words, len(g)::bigint as n_removed,
   sha256(coalesce(array_to_string(list_filter(w, (x, k) -> not list_contains(g, k)), ' '), '')) as kept_sha256
 from kept""",
+    "op11_embedding_dedup": """
+with recursive vectors as (
+  select vec_id, embedding::double[] as v from embeddings
+), usable as (
+  select * from vectors where vec_id is not null and len(v) > 0
+    and len([x for x in v if x is null or not isfinite(x)]) = 0 and len([x for x in v if x <> 0]) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b on len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.9
+), reached as (
+  select vec_id as a, vec_id as b from usable union select r.a, l.b from reached r join links l on l.a = r.b
+), lowest as (
+  select a, min(b) as component_id from reached group by a
+), counted as (
+  select a, count(*) as n_links from links group by a
+)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id,
+  coalesce(component_id, vec_id) is not distinct from vec_id as kept
+from vectors left join lowest l on l.a = vec_id left join counted c on c.a = vec_id""",
     "op12_filter_audit": r"""
 with docs as (
   select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,

@@ -34,5 +34,5 @@ def test_stages_take_effect_and_keep_the_columns(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 14))
     assert "pipeline" in queries.QUERIES and [n for n in queries.SQL if n not in queries.QUERIES] == []
