@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.catalogue import KEYS, METRICS, VALUES, VISIT_KEYS, catalogue, r, raw_catalogue, rounded, with_ctes
-from checks.registry import check
+from checks.registry import SQL, check
+from skyqa.functions.frames import cut, scratch_path
 from skyqa.operators.filters import FilterState
 from skyqa.operators.schema import column_profile
 from skyqa.operators.stats import (
     PERCENTILES,
     SHORT_PERCENTILES,
+    KeySet,
     colour_range,
     describe_by_key,
+    describe_sets,
     dimension_ranges,
     dimension_values,
     extent,
     info_counts,
+    key_summaries,
     patch_count,
     percentile_label,
     selection_title,
     summary_table,
     union_stats,
 )
+from skyqa.sources.layout import write_stats
 
 STATE = FilterState({"ra": (30.0, 300.0), "metric_a": (5.0, 45.0)}, flags=("flag_used",), bad_flags=("flag_bad",))
 STATE_SQL = "ra >= 3e1 and ra < 3e2 and metric_a >= 5 and metric_a < 45 and flag_used and not flag_bad"
@@ -83,7 +88,9 @@ def _(spark, sf):
 # the same answer when no group may be brought together
 @check("describe_large_groups", with_ctes(f"select * from {describe_sql('nrm', ['band'], VALUES, _others(['band']))}", "nrm"))
 def _(spark, sf):
-    return rounded(describe_by_key(catalogue(spark, sf), ["band"], VALUES, max_group_rows=1000))
+    cat = catalogue(spark, sf)
+    summaries = cut(key_summaries(cat, ["band"], VALUES))
+    return rounded(describe_by_key(cat, ["band"], VALUES, max_group_rows=1000, summaries=summaries))
 
 
 def summary_sql(columns: list[str], where: str) -> str:
@@ -131,17 +138,17 @@ def _union_sql() -> str:
 
 @check("stats_union", _union_sql())
 def _(spark, sf):
-    cat = catalogue(spark, sf)
     fewer = [c for c in VALUES if c != "metric_b"]
-    return rounded(
-        union_stats(
-            {
-                "coadd_forced": describe_by_key(cat, KEYS, VALUES, SHORT_PERCENTILES),
-                "coadd_unforced": describe_by_key(cat.drop("metric_b"), KEYS, fewer, SHORT_PERCENTILES),
-                "visit": describe_by_key(cat, VISIT_KEYS, VALUES, SHORT_PERCENTILES),
-            }
-        )
+    filled = [c for c in ALL + ["flag_used", "flag_bad"] if c not in [*KEYS, "metric_b"]]
+    tables = describe_sets(
+        catalogue(spark, sf),
+        {
+            "coadd_forced": KeySet(KEYS, VALUES, SHORT_PERCENTILES),
+            "coadd_unforced": KeySet(KEYS, fewer, SHORT_PERCENTILES, filled),
+            "visit": KeySet(VISIT_KEYS, VALUES, SHORT_PERCENTILES),
+        },
     )
+    return rounded(union_stats(tables))
 
 
 @check(
@@ -160,8 +167,20 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cat = catalogue(spark, sf)
-    stats = describe_by_key(cat, KEYS, [c for c in VALUES if c != "flux"])
-    return rounded(dimension_ranges(cat, stats, [*METRICS, "flux"]))
+    sets = {"tracts": KeySet(KEYS, [c for c in VALUES if c != "flux"]), "all": KeySet([], ["flux"], (0.01, 0.99), complete=())}
+    tables = describe_sets(cat, sets)
+    return rounded(dimension_ranges(cat, tables["tracts"], [*METRICS, "flux"], totals=tables["all"]))
+
+
+# statistics and kept summaries as they lie beside each other in storage; a metric that the statistics lack
+@check("dimension_ranges_kept", SQL["dimension_ranges"])
+def _(spark, sf):
+    cat = catalogue(spark, sf)
+    paths = [scratch_path(spark, name) for name in ("stats", "summaries")]
+    write_stats(key_summaries(cat, KEYS, VALUES), paths[1])
+    summaries = spark.read.parquet(paths[1])
+    write_stats(describe_by_key(cat, KEYS, [c for c in VALUES if c != "flux"], summaries=summaries), paths[0])
+    return rounded(dimension_ranges(cat, spark.read.parquet(paths[0]), [*METRICS, "flux"], summaries=summaries))
 
 
 @check(

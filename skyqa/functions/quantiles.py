@@ -6,16 +6,14 @@ holds a third of a large table would not fit there, so groups are split by size
 * if every group is small, each becomes a sorted array per column, which is fastest;
 * ordinary groups are ranked by one sorted window. The sort spills, there is one
   exchange, and the moments ride along in the same aggregate;
-* groups above ``max_group_rows`` are never brought together. A mergeable sketch
-  proposes cut points near the wanted ranks, one combinable count per chunk says which
-  chunk each rank is in, and only those chunks go on to the next round. The sketch
-  steers the work and does not touch the result: the counts are exact.
+* groups above ``max_group_rows`` are never brought together. Kept summaries (see
+  :mod:`skyqa.functions.summaries`) bound where the quantiles lie and one more pass
+  finds them exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,6 +21,7 @@ from pyspark.sql import functions as F
 
 from skyqa.functions.clean import finite_or_null, named
 from skyqa.functions.frames import broadcast_if_small, cut, join_on
+from skyqa.functions.summaries import Request, refine, sample_std, summarise
 
 #: Rows of one key that a single task may rank.
 MAX_GROUP_ROWS = 1_000_000
@@ -31,10 +30,6 @@ MAX_GROUP_ROWS = 1_000_000
 #: of up to 128 keys before it sorts instead, so this bounds the memory of a task.
 ARRAY_CELLS = 200_000
 
-_SKETCH_ACCURACY = 10_000
-_MARGIN = 4.0 / _SKETCH_ACCURACY
-_EVEN_CUTS = [i / 32 for i in range(1, 32)]
-
 
 def _value(column: str) -> Column:
     return finite_or_null(named(column).cast("double"))
@@ -55,26 +50,34 @@ def describe_columns(
     where: Column | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
     array_cells: int = ARRAY_CELLS,
+    summaries: DataFrame | None = None,
 ) -> DataFrame:
     """Count, mean, sample std, min, max and exact linear quantiles per key and column.
 
     Returns ``keys..., metric, count, mean, std, min, max, q`` with ``q`` an array in the
     order of ``probs``. Rows for which ``where`` does not hold add nothing, yet their
     keys still appear (with ``count = 0`` when no other row has that key).
+
+    ``summaries`` are those of the same keys, columns and condition, if they were kept: the rows
+    are then read once, and no group is brought together. A table without keys is taken
+    as one large group.
     """
     probs = [float(p) for p in probs]
     if not probs:
-        return _moments(df, keys, columns, where).withColumn("q", _no_quantiles(probs))
+        return _moments(df, keys, columns, where).withColumn("q", no_quantiles(probs))
+    if summaries is not None or not keys:
+        return _describe_split(df, keys, columns, probs, where, max_group_rows, summaries)
     n_keys, n_large, widest, sizes = _group_sizes(df, keys, max_group_rows)
     if widest * len(columns) <= array_cells and widest <= max_group_rows:
-        return _describe_arrays(df, keys, columns, probs, where)
+        return _describe_arrays(df, keys, columns, probs, where, sizes)
     if n_large == 0:
-        return _describe_ranked(df, keys, columns, probs, where, n_keys)
+        return _describe_ranked(df, keys, columns, probs, where, n_keys, sizes)
     if n_large == n_keys:
         return _describe_split(df, keys, columns, probs, where, max_group_rows)
-    marked = broadcast_if_small(cut(sizes.where(F.col("__n") > max_group_rows).drop("__n")))
+    marked = broadcast_if_small(sizes.where(F.col("__n") > max_group_rows).drop("__n"))
     small, large = (join_on(df, marked, keys, how) for how in ("left_anti", "left_semi"))
-    return _describe_ranked(small, keys, columns, probs, where, n_keys).unionByName(
+    few = sizes.where(F.col("__n") <= max_group_rows)
+    return _describe_ranked(small, keys, columns, probs, where, n_keys, few).unionByName(
         _describe_split(large, keys, columns, probs, where, max_group_rows)
     )
 
@@ -98,7 +101,7 @@ def _group_sizes(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[int, i
 
     Reads the key columns only, which for a partitioned table are not even in the files.
     """
-    sizes = df.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = cut(df.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n")))
     n_keys, n_large, widest = sizes.agg(
         F.count(F.lit(1)), F.count_if(F.col("__n") > limit), F.coalesce(F.max("__n"), F.lit(0))
     ).first()
@@ -110,16 +113,13 @@ def _moments(
     keys: Sequence[str],
     columns: Sequence[str],
     where: Column | None,
-    cuts: Sequence[float] = (),
 ) -> DataFrame:
-    """``keys..., metric, count, mean, std, min, max`` and, with ``cuts``, sketched cut points.
+    """``keys..., metric, count, mean, std, min, max``.
 
     One aggregate over whole rows that combines before the exchange, whatever the size of
     a group. Keys whose rows all fail ``where`` are there with a count of 0.
     """
     fields = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    if cuts:
-        fields["__cuts"] = lambda v: F.percentile_approx(v, list(cuts), _SKETCH_ACCURACY)
     ids = [named(k) for k in keys]
     values = [_value(c) if where is None else F.when(where, _value(c)) for c in columns]
     rows = df.select(*ids, *[v.alias(f"__v{i}") for i, v in enumerate(values)])
@@ -133,23 +133,28 @@ def _moments(
 
 
 def _complete_rows(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], where: Column | None
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], where: Column | None, sizes: DataFrame
 ) -> DataFrame:
     """Keys and clean values of the rows that count, and one row without values per key,
     which keeps the keys that have no row left."""
     ids = [named(k) for k in keys]
     rows = (df if where is None else df.where(where)).select(*ids, *[_value(c).alias(c) for c in columns])
     if keys and where is not None:
-        rows = rows.unionByName(df.select(*ids).distinct(), allowMissingColumns=True)
+        rows = rows.unionByName(sizes.select(*ids), allowMissingColumns=True)
     return rows
 
 
 def _describe_arrays(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], where: Column | None
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    probs: Sequence[float],
+    where: Column | None,
+    sizes: DataFrame,
 ) -> DataFrame:
     """Exchange whole rows once, sort every column of a key as an array and pick positions."""
     ids = [named(k) for k in keys]
-    rows = _complete_rows(df, keys, columns, where)
+    rows = _complete_rows(df, keys, columns, where, sizes)
     aggregates, entries = [], []
     for i, c in enumerate(columns):
         aggregates += [
@@ -167,13 +172,6 @@ def _describe_arrays(
         )
     grouped = (rows.repartition(*ids) if keys else rows).groupBy(*ids).agg(*aggregates)
     n = F.size("v").cast("long")
-
-    def quantile(p: float) -> Column:
-        at = F.lit(p) * (n - 1)
-        low = F.floor(at).cast("int")
-        here, after = F.get("v", low), F.get("v", low + 1)
-        return here + F.coalesce((after - here) * (at - low), F.lit(0.0))
-
     return grouped.select(*ids, F.inline(F.array(*entries))).select(
         *ids,
         "metric",
@@ -182,10 +180,24 @@ def _describe_arrays(
         "std",
         F.get("v", F.lit(0)).alias("min"),
         F.get("v", F.size("v") - 1).alias("max"),
-        F.array(*[quantile(p) for p in probs]).alias("q"),
+        array_quantiles(probs).alias("q"),
     )
 
 
+def array_quantiles(probs: Sequence[float], v: Column | None = None) -> Column:
+    """Exact linear quantiles of a sorted array (default: the column ``v``)."""
+    v = F.col("v") if v is None else v
+    n = F.size(v).cast("long")
+
+    def quantile(p: float) -> Column:
+        at = F.lit(p) * (n - 1)
+        low = F.floor(at).cast("int")
+        here, after = F.get(v, low), F.get(v, low + 1)
+        return here + F.coalesce((after - here) * (at - low), F.lit(0.0))
+
+    return F.array(*[quantile(p) for p in probs])
+
+
 def _describe_ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -193,6 +205,7 @@ def _describe_ranked(
     probs: Sequence[float],
     where: Column | None,
     n_keys: int,
+    sizes: DataFrame,
 ) -> DataFrame:
     """Rank the cells of every group in one sorted window.
 
@@ -201,7 +214,7 @@ def _describe_ranked(
     the columns of one key can be sorted by different tasks.
     """
     ids = [named(k) for k in keys]
-    rows = _complete_rows(df, keys, columns, where)
+    rows = _complete_rows(df, keys, columns, where, sizes)
     if n_keys >= 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         rows = rows.repartition(*ids)
     cells = [F.struct(F.lit(i).alias("metric"), named(c).alias("value")) for i, c in enumerate(columns)]
@@ -241,113 +254,16 @@ def _describe_split(
     probs: Sequence[float],
     where: Column | None,
     limit: int,
+    summaries: DataFrame | None = None,
 ) -> DataFrame:
-    """Moments by combinable aggregation and quantiles by narrowing to the wanted ranks."""
-    group = [*keys, "metric"]
-    by_group = [named(g) for g in group]
-    cuts = sorted({min(max(p + side * _MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)})
-    moments = cut(_moments(df, keys, columns, where, cuts))
-    cells = to_cells(df if where is None else df.where(where), keys, columns)
-    part = [*group, "__part"]
-    by_part = [named(g) for g in part]
-    targets = _targets(moments, by_group, probs)
-    rows = cells.where(F.col("value").isNotNull()).select(
-        *by_group, F.lit(0).cast("long").alias("__part"), "value", F.lit(1).cast("long").alias("__copies")
+    """Moments from kept summaries and quantiles by one more pass between the bounds of their sketches."""
+    held = cut(summarise(df, keys, columns, where)) if summaries is None else summaries
+    (q,) = refine(df, [Request(keys, columns, probs, held, where)], limit)
+    moments = held.where(F.col("metric").isin(list(columns))).select(
+        *[named(k) for k in keys], "metric", "count", "mean", sample_std().alias("std"), "min", "max"
     )
-    sketch = moments.where(F.col("count") > 0).select(
-        *by_group, F.lit(0).cast("long").alias("__part"), "__cuts"
-    )
-    moments = moments.drop("__cuts")
-    while True:
-        rows, targets = _narrow(rows, targets, part, sketch, len(cuts))
-        widest = rows.groupBy(*by_part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if widest is None or widest <= limit:
-            break
-        cuts = _EVEN_CUTS
-        sketch = cut(
-            rows.groupBy(*by_part).agg(
-                F.percentile_approx("value", cuts, _SKETCH_ACCURACY).alias("__cuts")
-            )
-        )
+    return join_on(moments, q, [*keys, "metric"], "left").withColumn("q", F.coalesce("q", no_quantiles(probs)))
 
-    upto = F.sum("__copies").over(
-        W.partitionBy(*by_part).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    )
-    placed = rows.withColumn("__upto", upto)
-    picked = (
-        join_on(placed, broadcast_if_small(targets), part)
-        .where((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__copies")))
-        .groupBy(*by_group)
-        .agg(
-            F.array(
-                *[
-                    F.sum(F.when(F.col("__i") == i, F.col("value") * F.col("__weight")))
-                    for i in range(len(probs))
-                ]
-            ).alias("q")
-        )
-    )
-    return join_on(moments, picked, group, "left").withColumn("q", F.coalesce("q", _no_quantiles(probs)))
 
-
-def _no_quantiles(probs: Sequence[float]) -> Column:
+def no_quantiles(probs: Sequence[float]) -> Column:
     return F.array(*[F.lit(None) for _ in probs]).cast("array<double>")
-
-
-def _targets(moments: DataFrame, by_group: Sequence[Column], probs: Sequence[float]) -> DataFrame:
-    """One row per neighbouring rank of every quantile, with its interpolation weight."""
-    n = F.col("count")
-
-    def pair(i: int, p: float) -> list[Column]:
-        at = F.lit(p) * (n - 1)
-        low = F.floor(at)
-        return [
-            F.struct(F.lit(i).alias("__i"), (low + up).alias("__rank"), weight.alias("__weight"))
-            for up, weight in ((0, 1 - (at - low)), (1, at - low))
-        ]
-
-    wanted = F.explode(F.array(*[s for i, p in enumerate(probs) for s in pair(i, p)])).alias("t")
-    return (
-        moments.where(n > 0)
-        .select(*by_group, F.lit(0).cast("long").alias("__part"), wanted)
-        .select(*by_group, "__part", "t.*")
-        .where(F.col("__weight") > 0)
-    )
-
-
-def _narrow(
-    rows: DataFrame, targets: DataFrame, part: Sequence[str], sketch: DataFrame, n_cuts: int
-) -> tuple[DataFrame, DataFrame]:
-    """Split every part at its cut points and keep the chunks that hold a wanted rank."""
-    by_part = [named(g) for g in part]
-    above = [(F.col("value") >= F.col("__cuts")[i]).cast("int") for i in range(n_cuts)]
-    # NaN never reaches this point, so the chunk number is monotone in the value
-    chunked = join_on(rows, broadcast_if_small(sketch), part).withColumn(
-        "__chunk", reduce(lambda a, b: a + b, above)
-    )
-    before = F.sum("__n").over(
-        W.partitionBy(*by_part).orderBy("__chunk").rowsBetween(W.unboundedPreceding, 0)
-    ) - F.col("__n")
-    sizes = (
-        chunked.groupBy(*by_part, "__chunk")
-        .agg(F.sum("__copies").alias("__n"))
-        .withColumn("__before", before)
-    )
-    child = (F.col("__part") * (n_cuts + 1) + F.col("__chunk")).alias("__part")
-    columns = [named(g) for g in part[:-1]]
-    placed = cut(
-        join_on(targets, sizes, part).where(
-            (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__n"))
-        )
-    )
-    new_targets = placed.select(
-        *columns, child, "__i", (F.col("__rank") - F.col("__before")).alias("__rank"), "__weight"
-    )
-    wanted = placed.select(*by_part, "__chunk").distinct()
-    kept = (
-        join_on(chunked, broadcast_if_small(wanted), [*part, "__chunk"], "left_semi")
-        .select(*columns, child, "value", "__copies")
-        .groupBy(*columns, "__part", "value")
-        .agg(F.sum("__copies").alias("__copies"))
-    )
-    return cut(kept), new_targets

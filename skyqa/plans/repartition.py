@@ -16,7 +16,7 @@ from skyqa.functions.frames import broadcast_if_small, cut, join_on
 from skyqa.operators.ingest import normalize, project_dataset, sample_fraction
 from skyqa.operators.keys import key_chunks
 from skyqa.operators.schema import KINDS, CatalogueKind, numeric_columns
-from skyqa.operators.stats import describe_by_key
+from skyqa.operators.stats import describe_by_key, key_summaries
 from skyqa.sources.layout import NUM_BUCKETS, write_incremental, write_partitioned, write_stats
 from skyqa.sources.readers import read_with_keys, scan
 
@@ -28,11 +28,16 @@ def cleaned(raw: DataFrame, kind: CatalogueKind, sample_frac: float | None = Non
 
 
 def write_catalogue_stats(spark: SparkSession, destination: str, kind: CatalogueKind) -> DataFrame:
-    """Describe the written catalogue and write that beside it; returns the table."""
+    """Describe the written catalogue and write that beside it; returns the table.
+
+    The summaries of the keys are written first and kept: the statistics need one more pass with them, and
+    so do ranges and quantiles that are asked for later.
+    """
     written = scan(spark, f"{destination}/{kind.name}").drop("bucket")
     metrics = numeric_columns(written, skip=[*kind.keys, kind.bucket_by])
-    path = f"{destination}/{kind.name}_stats"
-    write_stats(describe_by_key(written, kind.keys, metrics), path)
+    kept, path = f"{destination}/{kind.name}_summaries", f"{destination}/{kind.name}_stats"
+    write_stats(key_summaries(written, kind.keys, metrics), kept)
+    write_stats(describe_by_key(written, kind.keys, metrics, summaries=spark.read.parquet(kept)), path)
     return spark.read.parquet(path)
 
 
