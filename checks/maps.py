@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.catalogue import KEYS, METRICS, boxes, catalogue, plain_r, r, rounded, strips, table, with_ctes
 from checks.registry import check
 from checks.statistics import STATE, STATE_SQL
 from skyqa.functions.clean import named
+from skyqa.functions.frames import scratch_path
 from skyqa.operators.raster import (
     Axis,
     adaptive_points,
@@ -26,6 +29,7 @@ from skyqa.operators.tracts import (
     tract_polygons,
     tracts_at,
 )
+from skyqa.sources.pyramid import Grid, open_pyramid, read_view, view_of, write_pyramid
 
 BINS = 64
 RA, DEC = Axis("ra", BINS), Axis("dec", BINS)
@@ -304,3 +308,37 @@ def _(spark, sf):
         F.expr("(c_custkey * 104729 % 1600000) / 1e4 - 8e1").alias("dec"),
     )
     return points_in_tracts(points, strips(spark, sf)).select("c_custkey", named("tract"))
+
+
+# three viewports of one stored pyramid: the whole sky, a part of it on the finest level, and one whose limits lie inside bins
+_GRID = Grid("ra", "dec", (0.0, 360.0), (-90.0, 90.0), levels=7, tile_levels=4, by=("band",))
+_VIEWS = {
+    "all": ((0.0, 360.0), (-90.0, 90.0), 32, "flux", "mean"),
+    "part": ((90.0, 180.0), (-45.0, 0.0), 32, "metric_b", "std"),
+    "odd": ((100.0, 301.0), (-50.0, 33.0), 40, None, "count"),
+}
+
+
+def _view_sql(name: str) -> str:
+    x, y, most, value, aggregator = _VIEWS[name]
+    view = view_of(_GRID, x, y, most)
+    n = 1 << view.level
+    (x0, x1), (y0, y1) = view.x_bins, view.y_bins
+    made = {"mean": f"avg({value})", "std": f"stddev_pop({value})", "count": "count(*)::double"}[aggregator]
+    ix, iy = (f"least(floor(({c} - {lo}) / {span} * {n})::int, {n - 1})" for c, lo, span in (("ra", "0e0", "3.6e2"), ("dec", "-9e1", "1.8e2")))
+    return f"""select '{name}' as view, band, ix - {x0} as ix, iy - {y0} as iy, count(*) as n, {plain_r(made)} as value
+        from (select *, {ix} as ix, {iy} as iy from nrm) t where ix >= {x0} and ix < {x1} and iy >= {y0} and iy < {y1} group by all"""
+
+
+@check("raster_pyramid", with_ctes(" union all ".join(map(_view_sql, _VIEWS)), "nrm"))
+def _(spark, sf):
+    path = scratch_path(spark, "pyramid")
+    write_pyramid(catalogue(spark, sf), path, _GRID, ["flux", "metric_b"])
+    grid = open_pyramid(spark, path)
+    views = [
+        read_view(spark, path, grid, view_of(grid, x, y, most), value, aggregator).select(
+            F.lit(name).alias("view"), "band", "ix", "iy", "n", F.col("value").cast("double").alias("value")
+        )
+        for name, (x, y, most, value, aggregator) in _VIEWS.items()
+    ]
+    return rounded(reduce(lambda a, b: a.unionByName(b), views))
