@@ -20,6 +20,7 @@ from skyqa.operators.raster import (
     sky_raster,
     sky_raster_multi,
 )
+from skyqa.operators.polygons import points_in_polygons
 from skyqa.operators.tracts import (
     map_extent,
     points_in_tracts,
@@ -29,6 +30,7 @@ from skyqa.operators.tracts import (
     tract_polygons,
     tracts_at,
 )
+from skyqa.sources.readers import read_geojson
 from skyqa.sources.pyramid import Grid, open_pyramid, read_view, view_of, write_pyramid
 
 BINS = 64
@@ -342,3 +344,51 @@ def _(spark, sf):
         for name, (x, y, most, value, aggregator) in _VIEWS.items()
     ]
     return rounded(reduce(lambda a, b: a.unionByName(b), views))
+
+
+# a concave outline with a hole for each supplier, some of them across RA 0, written and read as GeoJSON
+_OUTLINE = [(0, 0), (20, 0), (20, 12), (14, 4), (8, 12), (3, 5)]
+_HOLE = [(8, 2), (9, 5), (6, 3)]
+
+
+def _corner(p: tuple[int, int]) -> tuple[str, str]:
+    # off the raster of the given positions, whose last bits differ between engines
+    return f"(s_suppkey * 7919 % 3600) / 1e1 + {p[0] + 3.21e-5}", f"(s_suppkey * 104729 % 1400) / 1e1 - 8e1 + {p[1] + 3.21e-5}"
+
+
+def _crossings_sql(x: str) -> str:
+    edges = [(a, b) for ring in (_OUTLINE, _HOLE) for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a[1] != b[1]]
+    parts = []
+    for a, b in edges:
+        (x0, y0), (x1, y1) = _corner(a), _corner(b)
+        parts.append(f"((({y0}) <= dec) <> (({y1}) <= dec) and {x} < ({x0}) + (dec - ({y0})) * (({x1}) - ({x0})) / (({y1}) - ({y0})))::int")
+    return " + ".join(parts)
+
+
+@check(
+    "points_in_polygons",
+    with_ctes(
+        f"""select polygon, band, count(*) as n, {plain_r('sum(flux)', 2)} as flux from (
+          select cast(s_suppkey as int) as polygon, band, flux from nrm, supplier where ({_crossings_sql('ra')}) % 2 = 1
+          union all select cast(s_suppkey as int), band, flux from nrm, supplier where ({_crossings_sql('(ra + 3.6e2)')}) % 2 = 1) t
+        group by polygon, band""",
+        "nrm",
+    ),
+)
+def _(spark, sf):
+    path = scratch_path(spark, "outlines")
+
+    def ring(points):
+        pairs = [_corner(p) for p in [*points, points[0]]]
+        return F.array(*[F.array(F.expr(f"({x}) % 360"), F.expr(y)) for x, y in pairs])
+
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.expr("cast(s_suppkey as int)").alias("polygon")).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), F.array(ring(_OUTLINE), ring(_HOLE)).alias("coordinates")).alias("geometry"),
+    )
+    collections = table(spark, sf, "supplier").groupBy(F.expr("s_suppkey div 50")).agg(F.collect_list(feature).alias("features"))
+    collections.select(F.lit("FeatureCollection").alias("type"), "features").write.json(path)
+    outlines = read_geojson(spark, path, {"polygon": "int"}, one_document=False, holes=True).drop("feature", "part")
+    found = points_in_polygons(catalogue(spark, sf), outlines)
+    return rounded(found.groupBy("polygon", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("flux").alias("flux")), 2)
