@@ -14,13 +14,15 @@ from skyqa.operators.keys import (
     existing_keys,
     filters_from_paths,
     key_chunks,
+    keys_by_chunk,
     selection_keys,
     tracts_from_paths,
     valid_tracts,
 )
 from skyqa.operators.stats import describe_by_key
+from skyqa.sources.changes import update_stats
 from skyqa.sources.layout import load_stats, write_incremental, write_partitioned, write_stats, write_tables
-from skyqa.sources.readers import list_files, read_geojson, read_skymap_csv, read_with_keys
+from skyqa.sources.readers import list_files, load_keys, read_geojson, read_skymap_csv, read_with_keys
 
 LAYOUT = ["band", "visit"]
 
@@ -128,48 +130,42 @@ def _(spark, sf):
 
 # written and read back
 
-_TOTALS = f"""select band, visit, count(*) as n, count(distinct tract) as tracts, count(metric_b) as filled,
-{r('sum(metric_a)', 'a')}, {r('avg(flux)', 'flux')}, count(*) filter (where flag_used) as used from nrm group by band, visit"""
+# every row with all its values, as the table has repeated rows with their number
+_ALL = ["band", "tract", "visit", "patch", "ra", "dec", "psfMag", "flux", "metric_a", "metric_b", "flag_used", "flag_bad"]
+_PLAIN = ", ".join(r(c) if c in ("ra", "dec", "psfMag", "flux", "metric_a", "metric_b") else f'"{c}"' for c in _ALL)
+_ROWS = with_ctes(f"select *, count(*) as n from (select {_PLAIN} from nrm) t group by all", "nrm")
 
 
-def _totals(df):
-    return rounded(
-        df.groupBy(*LAYOUT).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_distinct("tract").alias("tracts"),
-            F.count("metric_b").alias("filled"),
-            F.sum("metric_a").alias("a"),
-            F.avg("flux").alias("flux"),
-            F.count_if(F.col("flag_used")).alias("used"),
-        )
-    )
+def _rows(df):
+    return rounded(df.select(*_ALL)).groupBy(*_ALL).agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("partition_roundtrip", with_ctes(_TOTALS, "nrm"))
+@check("partition_roundtrip", _ROWS)
 def _(spark, sf):
     path = scratch_path(spark, "partitioned")
     cat = catalogue(spark, sf)
     # the second write replaces the partitions of the first
     write_partitioned(cat, path, LAYOUT, "patch")
     write_partitioned(cat.where("band = 'A'"), path, LAYOUT, "patch")
-    return _totals(spark.read.parquet(path))
+    return _rows(spark.read.parquet(path))
 
 
-@check("partition_incremental", with_ctes(_TOTALS, "nrm"))
+@check("partition_incremental", _ROWS)
 def _(spark, sf):
-    path = scratch_path(spark, "incremental")
-    write_incremental(catalogue(spark, sf), path, LAYOUT, "patch", chunk_keys=4)
-    return _totals(spark.read.parquet(path))
+    landed, path = scratch_path(spark, "landed"), scratch_path(spark, "incremental")
+    write_tables(catalogue(spark, sf), landed, LAYOUT)
+    write_incremental(spark.read.parquet(landed), path, LAYOUT, "patch", chunk_keys=4)
+    return _rows(spark.read.parquet(path))
 
 
-@check("write_tables", with_ctes(_TOTALS, "nrm"))
+@check("write_tables", _ROWS)
 def _(spark, sf):
     path = scratch_path(spark, "tables")
     write_tables(catalogue(spark, sf), path, LAYOUT)
-    return _totals(spark.read.parquet(path))
+    return _rows(spark.read.parquet(path))
 
 
-@check("read_with_keys", with_ctes(_TOTALS, "nrm"))
+@check("read_with_keys", _ROWS)
 def _(spark, sf):
     path = scratch_path(spark, "files")
     write_tables(catalogue(spark, sf), path, LAYOUT)
@@ -179,7 +175,56 @@ def _(spark, sf):
         F.regexp_extract("path", "/band=([^/]+)/", 1).alias("band"),
         F.regexp_extract("path", "/visit=([0-9]+)/", 1).cast("int").alias("visit"),
     )
-    return _totals(read_with_keys(spark, manifest, LAYOUT, root=path))
+    return _rows(read_with_keys(spark, manifest, LAYOUT, root=path))
+
+
+@check(
+    "load_keys",
+    with_ctes(
+        f"select *, count(*) as n from (select {_PLAIN} from nrm where tract in (select s_suppkey from supplier where s_acctbal > 5e3)) t group by all",
+        "nrm",
+    ),
+)
+def _(spark, sf):
+    path = scratch_path(spark, "by-tract")
+    write_tables(catalogue(spark, sf), path, ["tract"])
+    active = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("tract"), "s_acctbal").where("s_acctbal > 5e3")
+    return _rows(load_keys(spark, path, active, ["tract"]))
+
+
+@check(
+    "keys_by_chunk",
+    with_ctes(
+        """select band, chunk, string_agg(cast(tract as varchar), ',' order by tract) as tracts from (
+        select band, tract, cast((row_number() over (partition by band order by tract) - 1)
+        % greatest(1, ceil(count(*) over (partition by band) / 20e0)::int) as int) as chunk
+        from (select distinct band, tract from nrm) k) c group by band, chunk""",
+        "nrm",
+    ),
+)
+def _(spark, sf):
+    lists = keys_by_chunk(catalogue(spark, sf).select(*KEYS).distinct(), "band", "tract", 20)
+    return lists.withColumn("tracts", F.array_join(F.col("tracts").cast("array<string>"), ","))
+
+
+# a table, one tract of it replaced and one removed: what is described again equals a description of everything
+_CHANGED = with_ctes(
+    f"select * from {describe_sql('now_nrm', ['tract'], ['flux', 'metric_a'], _others(['tract']), (0.5,))}",
+    "nrm",
+    now_nrm="""select band, tract, visit, patch, ra, "dec", "psfMag", flux + case when tract = 3 then 1e0 else 0e0 end as flux,
+    metric_a, metric_b, flag_used, flag_bad from nrm where tract <> 5""",
+)
+
+
+@check("stats_of_changed_keys", _CHANGED)
+def _(spark, sf):
+    path, stats = scratch_path(spark, "by-tract"), scratch_path(spark, "stats")
+    cat = catalogue(spark, sf)
+    describe = lambda df: describe_by_key(df, ["tract"], ["flux", "metric_a"], (0.5,))
+    write_tables(cat.where("tract <> 5"), path, ["tract"])
+    update_stats(spark, path, stats, ["tract"], describe)
+    write_tables(cat.where("tract = 3").withColumn("flux", F.col("flux") + 1), path, ["tract"])
+    return rounded(update_stats(spark, path, stats, ["tract"], describe))
 
 
 @check("stats_roundtrip", with_ctes(f"select * from {describe_sql('nrm', KEYS, VALUES, _others(KEYS))}", "nrm"))

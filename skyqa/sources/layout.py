@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyqa.functions.clean import named
-from skyqa.functions.frames import broadcast_if_small, cut, join_on
+from skyqa.functions.frames import cut
 from skyqa.operators.keys import key_chunks
-from skyqa.sources.readers import is_complete
+from skyqa.sources.readers import is_complete, rows_of_keys
 
 # Buckets per partition, and keys per chunk of an incremental load.
 NUM_BUCKETS = 8
@@ -77,17 +77,14 @@ def write_incremental(
 
     Each filter (the first key) is cut into chunks of at most ``chunk_keys`` keys, at least
     one. A chunk replaces its own partitions, so a load that was interrupted can simply be
-    run again. Spark spills, so this is for bounding the work of one job, not for memory.
+    run again. Spark spills, so this is for bounding the work of one job, not for memory. Where ``df`` is a
+    table partitioned by the keys, a chunk opens the files of its keys only.
     """
     numbered = cut(key_chunks(df.select(*[named(k) for k in keys]).distinct(), keys[0], chunk_keys))
     chunks = numbered.select(named(keys[0]), "chunk").distinct().collect()
     for first, chunk in sorted(tuple(r) for r in chunks):
         wanted = numbered.where(named(keys[0]).eqNullSafe(F.lit(first)) & (F.col("chunk") == chunk))
-        part = join_on(
-            df.where(named(keys[0]).eqNullSafe(F.lit(first))), broadcast_if_small(wanted.drop("chunk")), keys,
-            "left_semi",
-        )
-        write_partitioned(part, path, keys, bucket_by, num_buckets)
+        write_partitioned(rows_of_keys(df, wanted, keys), path, keys, bucket_by, num_buckets)
     return len(chunks)
 
 
