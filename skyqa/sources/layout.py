@@ -82,7 +82,7 @@ def write_incremental(
     """
     numbered = cut(key_chunks(df.select(*[named(k) for k in keys]).distinct(), keys[0], chunk_keys))
     chunks = numbered.select(named(keys[0]), "chunk").distinct().collect()
-    for first, chunk in sorted(tuple(r) for r in chunks):
+    for first, chunk in sorted(map(tuple, chunks), key=lambda r: (r[0] is None, str(r[0]), r[1])):
         wanted = numbered.where(named(keys[0]).eqNullSafe(F.lit(first)) & (F.col("chunk") == chunk))
         write_partitioned(rows_of_keys(df, wanted, keys), path, keys, bucket_by, num_buckets)
     return len(chunks)
