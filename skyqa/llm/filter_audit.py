@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyqa.functions.frames import cut
 from skyqa.llm.tables import written
 from skyqa.llm.words import find_words, text_blocks
 
@@ -118,6 +119,7 @@ def failed_sets(docs: DataFrame) -> DataFrame:
     )
     judged = written(rows.mapInArrow(_judge, "doc_id long, part string, h long, g long, fails int"), "failed-filters")
     first = judged.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = cut(first)  # so that both sides of the join have exchanges of their own and Spark can split many copies of one text
     marked = judged.join(first, ["h", "g"], "left")
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).cast("int") * (1 << FILTERS.index("E"))
     return marked.select("doc_id", "part", (F.col("fails") + copy).alias("fails"))
