@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.catalogue import KEYS, VALUES, VISIT_KEYS, boxes, catalogue, r, rounded, table, with_ctes
+from checks.catalogue import (
+    KEYS,
+    VALUES,
+    VISIT_KEYS,
+    boxes,
+    catalogue,
+    first_cat,
+    r,
+    rounded,
+    second_cat,
+    table,
+    with_ctes,
+)
 from checks.registry import check
 from checks.statistics import _others, describe_sql
 from skyqa.functions.frames import scratch_path
@@ -21,8 +33,17 @@ from skyqa.operators.keys import (
 )
 from skyqa.operators.stats import describe_by_key
 from skyqa.sources.changes import update_stats
-from skyqa.sources.layout import load_stats, write_incremental, write_partitioned, write_stats, write_tables
-from skyqa.sources.readers import list_files, load_keys, read_geojson, read_skymap_csv, read_with_keys
+from skyqa.sources.layout import (
+    join_buckets,
+    load_stats,
+    save_bucketed_table,
+    write_along_curve,
+    write_incremental,
+    write_partitioned,
+    write_stats,
+    write_tables,
+)
+from skyqa.sources.readers import list_files, load_keys, read_box, read_geojson, read_skymap_csv, read_with_keys
 
 LAYOUT = ["band", "visit"]
 
@@ -178,6 +199,46 @@ def _(spark, sf):
     return _rows(read_with_keys(spark, manifest, LAYOUT, root=path))
 
 
+_BOXES = (((30.0, 75.0), (-40.0, 10.0)), ((350.0, 12.0), (0.0, 60.0)))
+
+
+@check(
+    "boxes_along_curve",
+    with_ctes(
+        f"""select *, count(*) as n from (select {_PLAIN} from nrm where (ra >= 3e1 and ra < 7.5e1 and "dec" >= -4e1 and "dec" < 1e1)
+        or ((ra >= 3.5e2 or ra < 1.2e1) and "dec" >= 0 and "dec" < 6e1)) t group by all""",
+        "nrm",
+    ),
+)
+def _(spark, sf):
+    path = scratch_path(spark, "curve")
+    write_along_curve(catalogue(spark, sf), path)
+    first, second = (read_box(spark, path, x, y) for x, y in _BOXES)
+    return _rows(first.unionByName(second))
+
+
+# both catalogues stored by buckets of their id
+@check(
+    "join_on_buckets",
+    with_ctes(
+        f"""select a.id, {r('b.shape - a.shape', 'shape')}, {r('b."psfMag" - a."psfMag"', 'psfMag')}
+        from first_cat a join second_cat b on a.id = b.id where a."detect_isPrimary" """,
+        "first_cat",
+        "second_cat",
+    ),
+)
+def _(spark, sf):
+    names = []
+    for k, make in enumerate((first_cat, second_cat)):
+        path = scratch_path(spark, "buckets")
+        names.append(f"buckets_{path.rsplit('-', 1)[1]}")
+        columns = {"shape": f"shape_{k}", "psfMag": f"psfMag_{k}", "detect_isPrimary": f"primary_{k}"}
+        rows = make(spark, sf).select("id", *columns).withColumnsRenamed(columns)
+        save_bucketed_table(rows, names[-1], [], "id", path=path)
+    both = join_buckets(spark, *names, "id").where("primary_0")
+    return rounded(both.select("id", F.expr("shape_1 - shape_0 as shape"), F.expr("psfMag_1 - psfMag_0 as psfMag")))
+
+
 @check(
     "load_keys",
     with_ctes(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.catalogue import crowded_pair, first_cat, r, rounded, second_cat, table, with_ctes
-from checks.registry import check
+from checks.registry import SQL, check
+from skyqa.functions.frames import scratch_path
+from skyqa.functions.observed import Watch
 from skyqa.operators.match import (
     match_counts,
     match_difference,
@@ -93,6 +95,16 @@ def _(spark, sf):
     return match_counts(sky_match(first_cat(spark, sf), second_cat(spark, sf), 2.0))
 
 
+# the same counts, observed while the match is written
+@check("sky_match_observed", SQL["sky_match_counts"])
+def _(spark, sf):
+    watch = Watch()
+    matched = sky_match(first_cat(spark, sf), second_cat(spark, sf), 2.0, watch=watch)
+    matched.write.parquet(scratch_path(spark, "match"))
+    found = watch.counts()["match"]
+    return spark.createDataFrame([(found["n_matched"], found["n_unmatched"])], "n_matched long, n_unmatched long")
+
+
 @check(
     "match_difference",
     with_ctes(

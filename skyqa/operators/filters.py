@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyqa.functions.clean import finite_or_null, named
+from skyqa.functions.observed import Watch
 from skyqa.operators.ingest import complete_cases
 from skyqa.operators.schema import flag_columns
 
@@ -86,12 +87,14 @@ def coadd_slice(
     filter_name: str = "filter",
     tract_name: str = "tract",
     columns: Sequence[str] | None = None,
+    watch: Watch | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Complete rows of one filter and some tracts, with warnings beside the frame.
 
     Unknown tracts are reported and left out; without ``known_tracts`` the asked ones are
     looked up in the table. If no known tract is asked for, every tract is used, which
-    needs no tract test at all. Both tests are on partition columns.
+    needs no tract test at all. Both tests are on partition columns. With a ``watch`` the first use of
+    the frame also counts its rows, and warns if there are none.
     """
     if known_tracts is None:
         asked = df.where(named(tract_name).isin(list(tracts))).select(named(tract_name))
@@ -106,7 +109,14 @@ def coadd_slice(
         warnings.append("no known tract selected, using all tracts")
     carried = COADD_SLICE_COLUMNS if columns is None else columns
     wanted = list(dict.fromkeys([*metrics, *flag_columns(df), *carried]))
-    return complete_cases(df.where(where).select(*[named(c) for c in wanted])), warnings
+    rows = complete_cases(df.where(where).select(*[named(c) for c in wanted]))
+    return _watched(rows, watch, "coadd rows", f"no complete rows of filter {filter_value}"), warnings
+
+
+def _watched(rows: DataFrame, watch: Watch | None, name: str, text: str) -> DataFrame:
+    if watch is None:
+        return rows
+    return watch.on(rows, name, {"n": F.count(F.lit(1))}, lambda found: [] if found["n"] else [text])
 
 
 def visit_slice(
@@ -117,14 +127,24 @@ def visit_slice(
     filter_name: str = "filter",
     visit_name: str = "visit",
     columns: Sequence[str] = VISIT_SLICE_COLUMNS,
+    tracts: Sequence[int] = (),
+    tract_name: str = "tract",
+    watch: Watch | None = None,
 ) -> DataFrame:
-    """Rows of one filter (and one visit) in which every metric has a value."""
+    """Rows of one filter (and one visit, and some tracts) in which every metric has a value.
+
+    With a ``watch`` the first use of the frame also counts its rows, and warns if there are none.
+    """
     where = named(filter_name) == F.lit(filter_value)
     if visit is not None:
         where = where & (named(visit_name) == F.lit(int(visit)))
+    if tracts:
+        where = where & named(tract_name).isin(list(tracts))
     wanted = list(dict.fromkeys([*columns, *metrics]))
     rows = df.where(where).select(*[named(c) for c in wanted])
-    return complete_cases(rows, list(metrics)) if metrics else rows
+    rows = complete_cases(rows, list(metrics)) if metrics else rows
+    what = f"no rows of filter {filter_value}" + ("" if visit is None else f", visit {visit}")
+    return _watched(rows, watch, "visit rows", what)
 
 
 def visits_long(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -196,3 +216,10 @@ def stats_slice(
     rows = stats.where(_all_of(tests)) if tests else stats
     return rows.drop(filter_name, tract_name) if drop_keys else rows
 
+
+def visit_stats_slice(
+    stats: DataFrame, tracts: Sequence[int] = (), tract_name: str = "tract", watch: Watch | None = None
+) -> DataFrame:
+    """Visit statistics of some tracts (no tracts: all). With a ``watch`` the first use warns if there are none."""
+    rows = stats_slice(stats, None, tracts, tract_name=tract_name)
+    return _watched(rows, watch, "visit statistics", f"no visit statistics for tracts {sorted(tracts) or 'at all'}")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from skyqa.functions.clean import finite_or_null, named
 from skyqa.functions.frames import broadcast_if_small, cut, join_on
+from skyqa.functions.observed import Watch
 from skyqa.operators.schema import magnitude_names
 
 #: Right positions in one cube up to which left rows are compared with all of them.
@@ -226,11 +227,13 @@ def sky_match(
     flag: str = "detect_isPrimary",
     check_ids: bool = True,
     leaf: int = LEAF,
+    watch: Watch | None = None,
 ) -> DataFrame:
     """Nearest primary right row of each primary left row: ``id, match_id, match_distance``.
 
     Distances are in arcseconds. One-way: several left rows may share a right row. Left
-    rows without a match have NULLs.
+    rows without a match have NULLs. With a ``watch`` the first use of the frame also counts the rows with
+    and without a match.
     """
     for df in (left, right):
         _check_catalogue(df, [id_column, ra, dec, flag], id_column, check_ids)
@@ -238,11 +241,15 @@ def sky_match(
         primary(left, flag), primary(right, flag), radius_arcsec / 3600.0, 1, id_column, id_column, ra, dec, leaf,
         unique_ids=check_ids,
     )
-    return found.select(
+    matched = found.select(
         named(id_column),
         named(f"{id_column}_2").alias("match_id"),
         (F.col("distance") * 3600.0).alias("match_distance"),
     )
+    if watch is None:
+        return matched
+    counts = {"n_matched": F.count("match_id"), "n_unmatched": F.count_if(F.col("match_id").isNull())}
+    return watch.on(matched, "match", counts, lambda n: [] if n["n_matched"] else ["no row has a match"])
 
 
 def match_counts(matched: DataFrame) -> DataFrame:

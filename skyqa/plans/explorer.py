@@ -6,8 +6,17 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-
-from skyqa.operators.filters import FilterState, coadd_slice, query_filter, stats_slice, visit_slice
+from pyspark.sql import functions as F
+
+from skyqa.functions.observed import Watch
+from skyqa.operators.filters import (
+    FilterState,
+    coadd_slice,
+    query_filter,
+    stats_slice,
+    visit_slice,
+    visit_stats_slice,
+)
 from skyqa.operators.raster import Axis, scatter_density_multi
 from skyqa.operators.stats import dimension_ranges, info_counts, summary_table
 from skyqa.operators.visits import visit_series_long
@@ -59,14 +68,19 @@ def open_catalogue(spark: SparkSession, root: str, version: str = "unforced") ->
     )
 
 
-def explore(catalogue: Catalogue, request: Request) -> tuple[dict[str, DataFrame], list[str]]:
+def explore(
+    catalogue: Catalogue, request: Request, watch: Watch | None = None
+) -> tuple[dict[str, DataFrame], list[str]]:
     """Every table behind the plots of one selection, lazily, and the warnings.
 
     ``series`` per-visit metric series, ``rows`` the selected objects, ``ranges`` display
     ranges, ``density`` the scatter and sky layers of all metrics, ``summary`` their summary
     rows and ``info`` the counts. Unknown metrics and tracts are reported and left out; without
     a known metric there is no density or summary, and without a known tract all are used,
-    in every table alike.
+    in every table alike. With a visit, rows and ranges are those of the visit catalogue.
+
+    With a ``watch``, the first use of ``rows`` counts them and the first use of ``series`` counts its
+    statistics; both warn if there are none.
     """
     source = catalogue.coadd if request.visit is None else catalogue.visit
     metrics: Sequence[str] = [m for m in request.metrics if m in source.columns]
@@ -76,18 +90,26 @@ def explore(catalogue: Catalogue, request: Request) -> tuple[dict[str, DataFrame
         rows, unknown = coadd_slice(
             catalogue.coadd, request.filter_value, metrics, request.tracts, catalogue.tracts
         )
+        stats = stats_slice(catalogue.coadd_stats, request.filter_value, tracts)
         warnings += unknown
     else:
-        rows = visit_slice(catalogue.visit, request.filter_value, metrics, request.visit)
+        rows = visit_slice(catalogue.visit, request.filter_value, metrics, request.visit, tracts=tracts)
+        stats = stats_slice(catalogue.stats["visit"], request.filter_value, tracts)
+        stats = stats.where(stats["visit"] == request.visit)
+        warnings += [f"tract {t} is not in the data" for t in request.tracts if t not in tracts]
+        if not tracts:
+            warnings.append("no known tract selected, using all tracts")
     rows = query_filter(rows, request.flags, request.expression)
-    stats = stats_slice(catalogue.coadd_stats, request.filter_value, tracts)
-    series, missing = visit_series_long(
-        stats_slice(catalogue.stats["visit"], None, tracts), request.filter_value, metrics, request.statistic
-    )
+    visit_stats = visit_stats_slice(catalogue.stats["visit"], tracts, watch=watch)
+    series, missing = visit_series_long(visit_stats, request.filter_value, metrics, request.statistic)
     warnings += [f"no visit statistics for {m}" for m in missing]
+    shown = rows
+    if watch is not None:
+        none = "no objects are left by the selection"
+        shown = watch.on(rows, "objects", {"n": F.count(F.lit(1))}, lambda found: [] if found["n"] else [none])
     tables = {
         "series": series,
-        "rows": rows,
+        "rows": shown,
         "ranges": dimension_ranges(rows, stats, metrics),
         "info": info_counts(catalogue.coadd_stats, catalogue.stats["visit"], rows, tracts),
     }
