@@ -17,7 +17,7 @@ from checks.catalogue import (
     table,
     with_ctes,
 )
-from checks.registry import check
+from checks.registry import SQL, check
 from checks.statistics import _others, describe_sql
 from skyqa.functions.frames import scratch_path
 from skyqa.operators.keys import (
@@ -33,6 +33,7 @@ from skyqa.operators.keys import (
 )
 from skyqa.operators.stats import describe_by_key
 from skyqa.sources.changes import update_stats
+from skyqa.sources.footers import stored_count, stored_extent, stored_keys
 from skyqa.sources.layout import (
     join_buckets,
     load_stats,
@@ -199,6 +200,29 @@ def _(spark, sf):
     return _rows(read_with_keys(spark, manifest, LAYOUT, root=path))
 
 
+# limits, counts and keys of a stored table, for which no column is read
+@check("extent_stored", SQL["extent"])
+def _(spark, sf):
+    path = scratch_path(spark, "by-band")
+    write_tables(catalogue(spark, sf), path, ["band"])
+    return rounded(stored_extent(spark, path, ["ra", "dec", "flux", "metric_a"]))
+
+
+@check(
+    "counts_stored",
+    with_ctes(
+        """select count(*) as n, count(*) filter (where visit = 3) as n_visit, count(distinct (band, visit)) as n_keys from nrm""",
+        "nrm",
+    ),
+)
+def _(spark, sf):
+    path = scratch_path(spark, "by-visit")
+    write_tables(catalogue(spark, sf), path, LAYOUT)
+    n, n_visit = stored_count(spark, path), stored_count(spark, path, {"visit": 3})
+    keys = stored_keys(spark, path, LAYOUT).agg(F.count(F.lit(1)).alias("n_keys"))
+    return keys.select(F.lit(n).cast("long").alias("n"), F.lit(n_visit).cast("long").alias("n_visit"), "n_keys")
+
+
 _BOXES = (((30.0, 75.0), (-40.0, 10.0)), ((350.0, 12.0), (0.0, 60.0)))
 
 
