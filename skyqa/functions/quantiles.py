@@ -59,13 +59,12 @@ def describe_columns(
     keys still appear (with ``count = 0`` when no other row has that key).
 
     ``summaries`` are those of the same keys, columns and condition, if they were kept: the rows
-    are then read once, and no group is brought together. A table without keys is taken
-    as one large group.
+    are then read once, and no group is brought together.
     """
     probs = [float(p) for p in probs]
     if not probs:
         return _moments(df, keys, columns, where).withColumn("q", no_quantiles(probs))
-    if summaries is not None or not keys:
+    if summaries is not None:
         return _describe_split(df, keys, columns, probs, where, max_group_rows, summaries)
     n_keys, n_large, widest, sizes = _group_sizes(df, keys, max_group_rows)
     if widest * len(columns) <= array_cells and widest <= max_group_rows:
