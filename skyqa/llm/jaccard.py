@@ -8,8 +8,9 @@ extended until, over its classes, the tokens beyond the first of each make up wh
 either a rare token or two frequent tokens of one class. Candidates are verified on the whole sets.
 
 Texts with equal sets are one node. In each list the candidates are first compared with the smallest node only. Where all
-members end up in one component, no other pair can change it. The other lists are compared in more stars, with the
-components joined after each round, until all pairs that are still across components are compared.
+members end up in one component, no other pair can change it. The other lists are compared whole, block by block, but for
+pairs that are in one component already. Before any text is sent, sketches of the sets (which cells their tokens fall into, then how
+many tokens fall into each) show for most pairs that too few tokens can be shared.
 
 Links never leave a component. Once these are known, all pairs of nodes inside each are compared and counted, block by block.
 """
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from skyqa.functions.frames import BROADCAST_ROWS, broadcast_if_small, cut, scratch_path
 from skyqa.llm.components import components
+from skyqa.llm.tables import written
 from skyqa.llm.words import SPACED, as_long, find_words, grams, mix, same_text, text_blocks
 
 #: Words of a shingle; similarity in hundredths.
@@ -32,15 +34,17 @@ SHINGLE, PERCENT = 5, 80
 #: Documents from which a token is frequent, and how many tokens may be (the most frequent; 8 bytes each in every task).
 #: Which tokens are frequent steers the work only; any choice gives the same groups.
 FREQUENT, FREQUENT_TOKENS = 16, 1 << 19
-#: Lists of each node, and members of a list that all others there are compared with, round by round, before all pairs
-#: across components are. They steer the work only.
-STAR_ROUNDS = ((24, 4), (1 << 30, 24))
 #: Tokens of one task of the counting stage, and members of a list that are verified in one group.
 COUNTED, VERIFIED = 4_000_000, 256
 #: Nodes and tokens of a block of a component when its links are counted; every block meets every other once.
 BLOCK_NODES, BLOCK_TOKENS = 2048, 2_000_000
+#: Members of a block of a long list; every block of a list meets every other once.
+LIST_BLOCK = 2048
 #: Columns of 64 bits that say which hash cells a set's tokens fill: a cell filled in one set only is a token missing.
 _WORDS = [f"w{i}" for i in range(8)]
+_CELLS = 64 * len(_WORDS)
+#: Bits of the table that most rare tokens are told by without a search among the frequent ones.
+_TOLD_BITS = 23
 #: Share of each set's first tokens (by hash) that are counted; prefixes lie among them unless most are frequent.
 _COUNTED_SHARE = 0.4
 
@@ -49,21 +53,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     """Distinct shingles of each text in ascending order, one text after the other, and where each text begins."""
     words = find_words(data, offsets, SPACED, lower=True)
     count = np.diff(words.first)
-    g, owner = grams(words.hash, size), words.doc
-    keep = same_text(words, size)
-    tokens, docs = [g[keep]], [owner[: len(g)][keep]]
+    n = np.where(count >= size, count - size + 1, np.minimum(count, 1))
+    first = np.concatenate([[0], np.cumsum(n)])
+    token = np.empty(first[-1], np.uint64)
+    token[np.repeat(count >= size, n)] = grams(words.hash, size)[same_text(words, size)]
     for k in range(1, size):  # too short for a shingle: all the words as one
         few = np.flatnonzero(count == k)
         if len(few):
-            tokens.append(grams(words.hash, k)[words.first[few]])
-            docs.append(few)
-    token, doc = np.concatenate(tokens), np.concatenate(docs)
-    order = np.lexsort((token, doc))
-    token, doc = token[order], doc[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-    token, doc = token[new], doc[new]
-    return token, np.searchsorted(doc, np.arange(len(offsets)))
+            token[first[few]] = grams(words.hash, k)[words.first[few]]
+    new = np.ones(len(token) + 1, bool)
+    edges = first.tolist()
+    for d in np.flatnonzero(n > 1).tolist():
+        token[edges[d] : edges[d + 1]].sort()
+    new[1:-1] = token[1:] != token[:-1]
+    new[first] = True
+    before = np.concatenate([[0], np.cumsum(new[:-1])])
+    return token[new[:-1]], before[first]
 
 
 def _nodes(token: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -72,14 +77,12 @@ def _nodes(token: np.ndarray, first: np.ndarray) -> np.ndarray:
     return as_long(mix((total[first[1:]] - total[first[:-1]]) ^ np.diff(first).astype(np.uint64)))
 
 
-def _bitmaps(token: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each set, which of the cells its tokens fall into, 64 to a word."""
-    cells = 64 * len(_WORDS)
-    cell = (mix(token ^ np.uint64(0x7FEB352D)) >> np.uint64(40)).astype(np.int64) % cells
+def _sketches(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, which of the cells its tokens fall into, 64 to a word, and how many into each (at most 255)."""
+    cell = (mix(token ^ np.uint64(0x7FEB352D)) >> np.uint64(40)).astype(np.int64) % _CELLS
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    filled = np.zeros((len(first) - 1) * cells, bool)
-    filled[doc * cells + cell] = True
-    return np.packbits(filled, bitorder="little").view("<i8").reshape(-1, len(_WORDS))
+    n = np.bincount(doc * _CELLS + cell, minlength=(len(first) - 1) * _CELLS).reshape(-1, _CELLS)
+    return np.packbits(n > 0, axis=1, bitorder="little").view("<i8"), np.minimum(n, 255).astype(np.uint8)
 
 
 def missing(n: np.ndarray | int, percent: int = PERCENT):
@@ -104,7 +107,7 @@ def signatures(
     """
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
-    often = np.isin(token & np.uint64(_LOW40), frequent)
+    often = _among(token & np.uint64(_LOW40), frequent)
     rare_rank = np.cumsum(~often) - 1
     begin = np.concatenate([[0], np.cumsum(~often)])[first[:-1]]
     need = missing(n, percent) + 1
@@ -150,6 +153,23 @@ def _pairs(own: np.ndarray, need: int, size_class: int, classes: int) -> np.ndar
 
 
 _LOW40 = (1 << 40) - 1
+_told: list[np.ndarray] = []
+
+
+def _among(token: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Whether each token is one of the sorted ``frequent`` ones. A task keeps the table of the last array it asked for."""
+    if not len(frequent):
+        return np.zeros(len(token), bool)
+    mask = np.uint64((1 << _TOLD_BITS) - 1)
+    if not _told or _told[0] is not frequent:
+        table = np.zeros(1 << _TOLD_BITS, bool)
+        table[frequent & mask] = True
+        _told[:] = [frequent, table]
+    out = _told[1][token & mask]
+    may = np.flatnonzero(out)
+    where = np.minimum(np.searchsorted(frequent, token[may]), len(frequent) - 1)
+    out[may] = frequent[where] == token[may]
+    return out
 
 
 def _count_frequent(texts: DataFrame, total: int, size: int) -> np.ndarray:
@@ -227,20 +247,21 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
         for batch in batches:
             for at, to, data, offsets in text_blocks(batch.column(1)):
                 token, first = shingle_sets(data, offsets, size)
-                bits = _bitmaps(token, first)
+                bits, cells = _sketches(token, first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, to - at),
                         pa.array(np.diff(first)),
                         pa.array(_nodes(token, first)),
                         *(pa.array(bits[:, i]) for i in range(len(_WORDS))),
+                        pa.array([c.tobytes() for c in cells], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "node", *_WORDS],
+                    ["doc_id", "n_shingles", "node", *_WORDS, "cells"],
                 )
 
     path = scratch_path(spark, "sets")
-    schema = ", ".join(["doc_id long, n_shingles long, node long", *(f"{w} long" for w in _WORDS)])
-    texts.mapInArrow(name, schema).write.parquet(path)
+    schema = ", ".join(["doc_id long, n_shingles long, node long", *(f"{w} long" for w in _WORDS), "cells binary"])
+    texts.mapInArrow(name, schema).write.option("compression", "zstd").parquet(path)
     sets = spark.read.parquet(path)
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     known = texts.where("doc_id is not null")
@@ -278,25 +299,19 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     holders = sets.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *(F.max(w).alias(w) for w in _WORDS)
     )
-    links = cut(_verify(_fitting(near, percent), known, holders.select("node", "doc_id"), percent, size))
+    cells = sets.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.max("cells").alias("cells"))
+    links = cut(_verify(_possible(_fitting(near, percent), cells, percent), known, holders.select("node", "doc_id"), percent, size))
     found = cut(components(links))
 
-    # a list whose members all link with its first is done. In the others more stars are compared, few at first, as each
-    # link spares the pairs of two components; in the end all pairs still across components are, but for those
-    # whose bitmaps show that too many tokens differ
+    # a list whose members all link with its first is done; so is one whose members are in one component
     apart = broadcast_if_small(cut(near.select("a", "b").join(links, ["a", "b"], "left_anti")))
     open_lists = broadcast_if_small(cut(shared.join(apart, ["a", "b"]).select("sig").distinct()))
     members = shared.join(open_lists, "sig", "left_semi").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
-    bitmaps, held = holders.drop("doc_id", "n"), ["sig", "node", "n"]
-    for stars in (*STAR_ROUNDS, None):
-        members = cut(_across(members.select(*held), found).join(bitmaps, "node"))
-        if members.isEmpty():
-            break
-        pairs = _every_pair(members, percent) if stars is None else _stars(members, *stars, percent)
-        more = cut(_fitting(pairs, percent).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = cut(links.unionByName(_verify(more, known, holders.select("node", "doc_id"), percent, size)))
-            found = cut(components(links))
+    members = written(_across(members, found).join(holders.drop("doc_id", "n"), "node"), "open-lists")
+    more = written(_list_pairs(members, percent).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), "list-pairs")
+    if not more.isEmpty():
+        links = cut(links.unionByName(_verify(_possible(more, cells, percent), known, holders.select("node", "doc_id"), percent, size)))
+        found = cut(components(links))
 
     degree = _degrees(found, known, holders.select("node", "doc_id", "n"), percent, size)
     nodes = holders.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -321,41 +336,89 @@ def _across(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(spread.select("sig"), "sig")
 
 
-def _paired(members: DataFrame, other: DataFrame, percent: int, which: str = "true") -> DataFrame:
-    """Pairs ``a, a_n, b, b_n`` (``a`` the smaller node) of one list and two components whose bitmaps fit."""
-    other = other.select("sig", *(F.col(c).alias(f"o_{c}") for c in other.columns if c != "sig"))
-    only_one, only_other = (
-        sum((F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}{w}")))) for w in _WORDS), F.lit(0))
-        for x, y in (("", "o_"), ("o_", ""))
-    )
-    enough = percent * (F.col("n") + F.col("o_n"))  # 100 + percent times the tokens that similar sets share at least
-    joined = (
-        members.join(other, "sig")
-        .where("component <> o_component")
-        .where(which)
-        .where(((F.col("n") - only_one) * (100 + percent) >= enough) & ((F.col("o_n") - only_other) * (100 + percent) >= enough))
-    )
-    low, high = (pick(F.struct("node", "n"), F.struct(F.col("o_node").alias("node"), F.col("o_n").alias("n"))) for pick in (F.least, F.greatest))
-    return joined.select(low.alias("low"), high.alias("high")).select(
-        F.col("low.node").alias("a"), F.col("low.n").alias("a_n"), F.col("high.node").alias("b"), F.col("high.n").alias("b_n")
-    )
-
-
-def _every_pair(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of each list that are across components."""
-    return _paired(members, members, percent, "node < o_node")
+def _list_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of one list and two components whose sizes and bitmaps fit; a pair of many lists comes once from each task.
 
+    Lists of more than ``LIST_BLOCK`` members are dealt in blocks by their nodes, so that no task holds a long one whole.
+    """
+    long = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = members.join(broadcast_if_small(cut(long)), "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("other")
+    keys = ["sig", "low", "high"]
+    seats = (
+        dealt.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("sig", F.least("own", other).alias("low"), F.greatest("own", other).alias("high"), "own", "node", "n", "component", *_WORDS)
+        .repartition(*keys)
+        .sortWithinPartitions(*keys)
+    )
 
-def _stars(members: DataFrame, lists_each: int, hubs: int, percent: int) -> DataFrame:
-    """Each node takes part in ``lists_each`` of its lists; there, ``hubs`` members are paired with those of other components.
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, emitted = np.zeros((0, 7 + len(_WORDS)), np.int64), np.zeros(0, _PAIR)
+        for batch in batches:
+            rows = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(batch.num_columns)], axis=1)
+            rows = np.concatenate([held, rows])
+            same = (rows[:, :3] == rows[-1, :3]).all(axis=1)  # the last list may go on in the next batch
+            held = rows[same]
+            fresh = _fitting_pairs(rows[~same], percent)
+            fresh = fresh[~np.isin(fresh, emitted)]
+            emitted = np.concatenate([emitted, fresh])[-_REMEMBERED:]
+            yield _pair_batch(fresh)
+        yield _pair_batch(_fitting_pairs(held, percent))
+
+    return seats.mapInArrow(pair, "a long, b long")
+
+
+#: A pair of nodes, and how many pairs a task remembers so as not to send them again.
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+_REMEMBERED = 1 << 20
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[c].copy()) for c in ("a", "b")], ["a", "b"])
+
+
+def _fitting_pairs(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs across components, of lists or of two blocks of one, from rows ``sig, low, high, own, node, n, component, bitmap``."""
+    rows = rows[np.lexsort((rows[:, 5], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    own, node, n, component = rows[:, 3:7].T
+    bits = np.ascontiguousarray(rows[:, 7:]).view(np.uint64)
+    mixed = rows[:, 1] != rows[:, 2]
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(rows)), bool), (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]))
+    end = np.repeat(np.append(start[1:], len(rows)), np.diff(np.append(start, len(rows))))
+    out, at, gap = [np.zeros(0, _PAIR)], np.arange(len(rows)), 1
+    while True:
+        at = at[at + gap < end[at]]
+        at = at[100 * n[at] >= percent * n[at + gap]]  # sizes ascend: no later partner fits either
+        if not len(at):
+            return np.unique(np.concatenate(out))
+        one = at[(component[at] != component[at + gap]) & ~(mixed[at] & (own[at] == own[at + gap]))]
+        two = one + gap
+        here = np.bitwise_count(bits[one] & ~bits[two]).sum(axis=1, dtype=np.int64)
+        there = np.bitwise_count(bits[two] & ~bits[one]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(n[one] - here, n[two] - there)  # tokens that both can have
+        fits = (100 + percent) * most >= percent * (n[one] + n[two])
+        made = np.empty(int(fits.sum()), _PAIR)
+        x, y = node[one[fits]], node[two[fits]]
+        made["a"], made["b"] = np.minimum(x, y), np.maximum(x, y)
+        out.append(made)
+        gap += 1
+
+
+def _possible(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose counts of tokens by cell leave enough that both can have."""
+    a, b = (cells.select(F.col("node").alias(c), F.col("cells").alias(f"{c}_cells")) for c in ("a", "b"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _CELLS) for i in (2, 3))
+            most = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+            total = left.sum(axis=1, dtype=np.int64) + right.sum(axis=1, dtype=np.int64)
+            full = (left == 255).any(axis=1) | (right == 255).any(axis=1)  # counts may be higher
+            pick = pa.array(np.flatnonzero(full | ((100 + percent) * most >= percent * total)))
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pick) for i in (0, 1)], ["a", "b"])
 
-    Lists are taken by hash of their signature, so that similar sets, which share lists, take the same ones. Hubs are
-    taken by hash of the node, so that lists of the same members have the same hubs.
-    """
-    first, lowest = Window.partitionBy("node").orderBy(F.xxhash64("sig"), "sig"), Window.partitionBy("sig").orderBy(F.xxhash64("node"), "node")
-    taken = members.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= lists_each).drop("__rank")
-    fronts = taken.withColumn("__rank", F.row_number().over(lowest)).where(F.col("__rank") <= hubs).drop("__rank")
-    return _paired(taken, fronts, percent)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_cells", "b_cells").mapInArrow(check, "a long, b long")
 
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
@@ -368,18 +431,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, holders: DataFrame, percent: int
 
     Each text travels once to every group that compares it: the members of an ``a``, in parts of about ``VERIFIED``, with ``a`` in front.
     """
+    pairs = cut(pairs)
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFIED).cast("int").alias("parts"))
+    split = broadcast_if_small(cut(groups.where("parts > 1")))
     heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
-    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("node"))
-    seats = heads.unionByName(members).join(holders, "node")
-    seats = seats.groupBy("doc_id", "node").agg(F.collect_list(F.struct("a", "part")).alias("seats"))  # per text
-    seats = cut(seats)
-    if seats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then the other texts stay where they are
-        texts = texts.join(F.broadcast(seats.select("doc_id").distinct()), "doc_id", "left_semi")
+    parts = F.coalesce("parts", F.lit(1))
+    members = pairs.join(split, "a", "left").select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), F.col("b").alias("node"))
+    seats = cut(heads.unionByName(members).join(holders, "node"))
+    texts = texts.join(broadcast_if_small(seats.select("doc_id").distinct()), "doc_id", "left_semi")  # most stay where they are
     sent = (
         texts.join(seats, "doc_id")
-        .select("node", "text", F.explode("seats").alias("seat"))
-        .select("seat.a", "seat.part", "node", "text")
+        .select("a", "part", "node", "text")
         .repartition("a", "part")
         .sortWithinPartitions("a", "part", F.desc(F.col("node") == F.col("a")))
     )

@@ -18,12 +18,12 @@ def all_links(rows, percent=80, size=5):
     return [(i, 0 if i is None else n.get(s, 0)) for (i, _), s in zip(rows, sets, strict=True)]
 
 
-@pytest.mark.parametrize(("frequent", "rounds", "block"), [(16, None, 2048), (2, ((1, 1),), 7)])
-def test_every_link_is_counted(spark, monkeypatch, tmp_path, frequent, rounds, block):
+@pytest.mark.parametrize(("frequent", "block"), [(16, 2048), (2, 7)])
+def test_every_link_is_counted(spark, monkeypatch, tmp_path, frequent, block):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(str(tmp_path))
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds or jaccard.STAR_ROUNDS)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
     monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
     draw = np.random.default_rng(7)
     base = [f"w{k}" for k in range(100)]
