@@ -26,7 +26,9 @@ SMOOTHING = 5.0
 #: Added to every count of (language, declaration).
 DECLARED_SMOOTHING = 0.5
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.IGNORECASE | re.DOTALL)
+#: What stands after the ``<`` of a part that is dropped with all it holds, and what ends such a part.
+_OPENS = re.compile(r"!--|script\b|style\b", re.IGNORECASE)
+_ENDS = {"!": re.compile("-->"), "c": re.compile(r"</script\s*>", re.IGNORECASE), "t": re.compile(r"</style\s*>", re.IGNORECASE)}
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,28 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> tu
 
 
 def _visible(html: str | None) -> str:
-    return unescape(_DROP.sub(" ", html)) if html else ""
+    """The text of a page: comments, scripts, styles and marks are a space each, character references are read.
+
+    A comment, script or style that nothing closes is dropped as a mark alone, and a ``<`` without any ``>`` after it
+    stays. An end that was not found once is not looked for again, so the time is in proportion to the page.
+    """
+    if not html:
+        return ""
+    out, at, missing = [], 0, set()
+    while (mark := html.find("<", at)) >= 0:
+        end, opens = None, _OPENS.match(html, mark + 1)
+        if opens:
+            kind = html[mark + 1] if html[mark + 1] == "!" else html[mark + 2].lower()
+            if kind not in missing:
+                end = _ENDS[kind].search(html, opens.end())
+                if end is None:
+                    missing.add(kind)
+        to = end.end() if end else html.find(">", mark) + 1
+        if not to:
+            break  # no mark ends after this place
+        out += [html[at:mark], " "]
+        at = to
+    return unescape("".join([*out, html[at:]]))
 
 
 def _declared(html: Column) -> Column:
