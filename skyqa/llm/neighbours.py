@@ -36,13 +36,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
 
     Ties go to the smaller id. Vectors that are not :func:`usable` or have no id take no part; only vectors of the same
     number of components are compared. Rows that repeat an id are one vector (the smallest). With fewer than ``k``
-    candidates all are returned. Every row is a candidate: blocks are scanned whole, and a block of
+    candidates all are returned. Vectors of double components are compared as they are, also those too large for single precision. Every row is a candidate: blocks are scanned whole, and a block of
     queries keeps only its best ``k`` in each task.
     """
+    single = vectors.schema[column].dataType.elementType.typeName() == "float"
+    kind, element = ("<f4", "float") if single else ("<f8", "double")  # as exact as the given components
     held = (
         vectors.where(F.col(id_column).isNotNull() & usable(F.col(column)))
         .withColumn("__query", F.coalesce(is_query, F.lit(False)))
-        .select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"), "__query")
+        .select(F.col(id_column).cast("long").alias("id"), F.col(column).cast(f"array<{element}>").alias("v"), "__query")
         .groupBy("id")
         .agg(F.min("v").alias("v"), F.max("__query").alias("__query"))
         .select("id", "v", F.size("v").alias("d"), "__query")
@@ -54,15 +56,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
         asked.join(F.broadcast(blocks), "d")  # one row for each number of components
         .withColumn("q", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
         .groupBy("d", "q")
-        .applyInArrow(_pack_queries, "d int, q int, ids binary, vecs binary")
+        .applyInArrow(lambda table: _pack_queries(table, kind), "d int, q int, ids binary, vecs binary")
     )
-    codes = held.select("id", "v", "d").mapInArrow(_encode, "d int, ids binary, vecs binary, codes binary, fits binary")
+    codes = held.select("id", "v", "d").mapInArrow(lambda batches: _encode(batches, kind), "d int, ids binary, vecs binary, codes binary, fits binary")
     spread = codes.join(F.broadcast(blocks), "d").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     found = (
         spread.drop("n")
         .join(packed.withColumnsRenamed({"ids": "query_ids", "vecs": "query_vecs"}), ["d", "q"])
         .select("d", "q", "ids", "vecs", "codes", "fits", "query_ids", "query_vecs")
-        .mapInArrow(lambda batches: _search(batches, k), _RESULT)
+        .mapInArrow(lambda batches: _search(batches, k, kind), _RESULT)
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
@@ -79,8 +81,8 @@ def rotation(d: int) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:d]
 
 
-def _matrix(lists: pa.Array, d: int) -> np.ndarray:
-    return np.asarray(lists.flatten(), np.float32).reshape(-1, d)
+def _matrix(lists: pa.Array, d: int, kind: str) -> np.ndarray:
+    return np.asarray(lists.flatten(), kind).reshape(-1, d)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -96,14 +98,14 @@ def encode(v: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits, np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1])
 
 
-def _pack_queries(table: pa.Table) -> pa.Table:
+def _pack_queries(table: pa.Table, kind: str) -> pa.Table:
     d, q = table["d"][0].as_py(), table["q"][0].as_py()
     ids = np.asarray(table["id"]).astype("<i8")
-    vecs = _matrix(table["v"].combine_chunks(), d)
-    return pa.table({"d": pa.array([d], pa.int32()), "q": pa.array([q], pa.int32()), "ids": [ids.tobytes()], "vecs": [vecs.astype("<f4").tobytes()]})
+    vecs = _matrix(table["v"].combine_chunks(), d, kind)
+    return pa.table({"d": pa.array([d], pa.int32()), "q": pa.array([q], pa.int32()), "ids": [ids.tobytes()], "vecs": [vecs.tobytes()]})
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     turns: dict[int, np.ndarray] = {}
     for batch in batches:
         dims = np.asarray(batch.column(2))
@@ -111,11 +113,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.flatnonzero(dims == d)
             for at in range(0, len(rows), BLOCK):
                 part = batch.take(pa.array(rows[at : at + BLOCK]))
-                vecs = _matrix(part.column(1), d)
+                vecs = _matrix(part.column(1), d, kind)
                 if d not in turns:
                     turns[d] = rotation(d)
                 bits, fit = encode(vecs, turns[d])
-                held = (np.asarray(part.column(0)).astype("<i8"), vecs.astype("<f4"), bits, fit)
+                held = (np.asarray(part.column(0)).astype("<i8"), vecs, bits, fit)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in held)],
                     ["d", "ids", "vecs", "codes", "fits"],
@@ -141,7 +143,7 @@ def estimate(queries: np.ndarray, bits: np.ndarray, fit: np.ndarray) -> tuple[np
     return product / fit, (error + rounding) / fit
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], k: int, kind: str) -> Iterator[pa.RecordBatch]:
     state: dict[tuple[int, int], tuple] = {}
     turns: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -153,22 +155,22 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                     state.clear()
                 if row["d"] not in turns:
                     turns[row["d"]] = rotation(row["d"])
-                state[key] = _start(row, k, turns[row["d"]])
-            _scan_block(state[key], row, k)
+                state[key] = _start(row, k, turns[row["d"]], kind)
+            _scan_block(state[key], row, k, kind)
     yield from _found(state)
 
 
-def _start(row: dict, k: int, turn: np.ndarray) -> tuple:
+def _start(row: dict, k: int, turn: np.ndarray, kind: str) -> tuple:
     ids = np.frombuffer(row["query_ids"], "<i8")
-    unit = _unit(np.frombuffer(row["query_vecs"], "<f4").reshape(-1, row["d"]))
+    unit = _unit(np.frombuffer(row["query_vecs"], kind).reshape(-1, row["d"]))
     n = len(ids)
     return ids, unit, unit @ turn, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
 
-def _scan_block(state: tuple, row: dict, k: int) -> None:
+def _scan_block(state: tuple, row: dict, k: int, kind: str) -> None:
     query_ids, unit, turned, best, best_ids = state
     ids = np.frombuffer(row["ids"], "<i8")
-    vecs = _unit(np.frombuffer(row["vecs"], "<f4").reshape(-1, row["d"]))
+    vecs = _unit(np.frombuffer(row["vecs"], kind).reshape(-1, row["d"]))
     bits = np.frombuffer(row["codes"], "<u8").reshape(len(ids), -1)
     fit = np.frombuffer(row["fits"], "<f8")
     for at in range(0, len(query_ids), 64):
