@@ -26,6 +26,8 @@ WORDS, DIMENSIONS, SIGNS, REACH = 1 << 14, 64, 4, 2
 FIT_ROWS = 20_000
 #: Rows of the context table in one message.
 _SLICE = 512
+#: Groups of tasks whose sums of one slice are added up together before they meet the others.
+_PARTS = 256
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +45,8 @@ def _places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 def context_table(docs: DataFrame) -> np.ndarray:
     """Context vectors (rows of length 1) of all places, from every whole text of ``docs(text)``.
 
-    The result has a fixed size. Tasks send their sums in slices; each slice is added up as it streams by.
+    The result has a fixed size. Tasks send their sums in slices, which are added up in two steps: parts of the tasks
+    beside each other for each slice, then the few sums of a slice. Sums of signs are whole numbers, so their order does not matter.
     """
     which, sign = index_vectors()
 
@@ -78,7 +81,9 @@ def context_table(docs: DataFrame) -> np.ndarray:
     schema = "slice int, sums binary"
     parts = docs.select("text").mapInArrow(gather, schema)
     table = np.zeros((WORDS // _SLICE, _SLICE * DIMENSIONS))
-    for row in parts.repartition(WORDS // _SLICE, "slice").mapInArrow(add, schema).toLocalIterator():
+    some = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(_PARTS))).repartition("slice", "part")
+    some = some.select("slice", "sums").mapInArrow(add, schema)
+    for row in some.repartition(WORDS // _SLICE, "slice").mapInArrow(add, schema).toLocalIterator():
         table[row.slice] = np.frombuffer(row.sums, "<f8")
     table = table.reshape(WORDS, DIMENSIONS)
     size = np.sqrt((table * table).sum(axis=1, keepdims=True))
