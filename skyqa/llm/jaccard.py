@@ -8,9 +8,11 @@ extended until, over its classes, the tokens beyond the first of each make up wh
 either a rare token or two frequent tokens of one class. Candidates are verified on the whole sets.
 
 Texts with equal sets are one node. In each list the candidates are first compared with the smallest node only. Where all
-members end up in one component, no other pair can change it. The other lists are compared whole, block by block, but for
-pairs that are in one component already. Before any text is sent, sketches of the sets (which cells their tokens fall into, then how
-many tokens fall into each) show for most pairs that too few tokens can be shared.
+other members end up in one component, no other pair can change it. The members of the other lists are compared block by block, but
+for pairs that are in one component already; of lists with the same members one is enough. Before any text is sent, sketches of the sets
+(how many tokens fall into each hash cell) show for most pairs that too few tokens can be shared. In a list of many similar
+sets each is first verified with its few likeliest partners; lists that hold more go on, with more partners each time,
+until all members are in one component or no pair is left.
 
 Links never leave a component. Once these are known, all pairs of nodes inside each are compared and counted, block by block.
 """
@@ -39,10 +41,13 @@ COUNTED, VERIFIED = 4_000_000, 256
 #: Nodes and tokens of a block of a component when its links are counted; every block meets every other once.
 BLOCK_NODES, BLOCK_TOKENS = 2048, 2_000_000
 #: Members of a block of a long list; every block of a list meets every other once.
-LIST_BLOCK = 2048
-#: Columns of 64 bits that say which hash cells a set's tokens fill: a cell filled in one set only is a token missing.
-_WORDS = [f"w{i}" for i in range(8)]
-_CELLS = 64 * len(_WORDS)
+LIST_BLOCK = 1024
+#: Partners of each member of a list that are verified in the first pass, and how many times more in each further one.
+PARTNERS, PARTNERS_GROW = 4, 8
+#: Hash cells whose tokens a sketch counts; a multiple of 64.
+_CELLS = 512
+#: Pairs of lists that a task looks at together, and pairs whose sketches it compares at once.
+_LOOKED, _SKETCHED = 1 << 20, 1 << 13
 #: Bits of the table that most rare tokens are told by without a search among the frequent ones.
 _TOLD_BITS = 23
 #: Share of each set's first tokens (by hash) that are counted; prefixes lie among them unless most are frequent.
@@ -77,12 +82,12 @@ def _nodes(token: np.ndarray, first: np.ndarray) -> np.ndarray:
     return as_long(mix((total[first[1:]] - total[first[:-1]]) ^ np.diff(first).astype(np.uint64)))
 
 
-def _sketches(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each set, which of the cells its tokens fall into, 64 to a word, and how many into each (at most 255)."""
+def _sketches(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each set, how many of its tokens fall into each cell (at most 255)."""
     cell = (mix(token ^ np.uint64(0x7FEB352D)) >> np.uint64(40)).astype(np.int64) % _CELLS
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = np.bincount(doc * _CELLS + cell, minlength=(len(first) - 1) * _CELLS).reshape(-1, _CELLS)
-    return np.packbits(n > 0, axis=1, bitorder="little").view("<i8"), np.minimum(n, 255).astype(np.uint8)
+    return np.minimum(n, 255).astype(np.uint8)
 
 
 def missing(n: np.ndarray | int, percent: int = PERCENT):
@@ -247,21 +252,18 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
         for batch in batches:
             for at, to, data, offsets in text_blocks(batch.column(1)):
                 token, first = shingle_sets(data, offsets, size)
-                bits, cells = _sketches(token, first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, to - at),
                         pa.array(np.diff(first)),
                         pa.array(_nodes(token, first)),
-                        *(pa.array(bits[:, i]) for i in range(len(_WORDS))),
-                        pa.array([c.tobytes() for c in cells], pa.binary()),
+                        pa.array([c.tobytes() for c in _sketches(token, first)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "node", *_WORDS, "cells"],
+                    ["doc_id", "n_shingles", "node", "cells"],
                 )
 
     path = scratch_path(spark, "sets")
-    schema = ", ".join(["doc_id long, n_shingles long, node long", *(f"{w} long" for w in _WORDS), "cells binary"])
-    texts.mapInArrow(name, schema).write.option("compression", "zstd").parquet(path)
+    texts.mapInArrow(name, "doc_id long, n_shingles long, node long, cells binary").write.option("compression", "zstd").parquet(path)
     sets = spark.read.parquet(path)
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     known = texts.where("doc_id is not null")
@@ -297,21 +299,30 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
 
     near = cut(shared.where("a <> b").select("a", "a_n", "b", "b_n").distinct())
     holders = sets.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *(F.max(w).alias(w) for w in _WORDS)
+        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")
     )
     cells = sets.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.max("cells").alias("cells"))
-    links = cut(_verify(_possible(_fitting(near, percent), cells, percent), known, holders.select("node", "doc_id"), percent, size))
+    named = holders.select("node", "doc_id")
+    links = cut(_verify(cut(_possible(_fitting(near, percent), cells, percent)), known, named, percent, size))
     found = cut(components(links))
 
-    # a list whose members all link with its first is done; so is one whose members are in one component
-    apart = broadcast_if_small(cut(near.select("a", "b").join(links, ["a", "b"], "left_anti")))
-    open_lists = broadcast_if_small(cut(shared.join(apart, ["a", "b"]).select("sig").distinct()))
-    members = shared.join(open_lists, "sig", "left_semi").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
-    members = written(_across(members, found).join(holders.drop("doc_id", "n"), "node"), "open-lists")
-    more = written(_list_pairs(members, percent).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), "list-pairs")
-    if not more.isEmpty():
-        links = cut(links.unionByName(_verify(_possible(more, cells, percent), known, holders.select("node", "doc_id"), percent, size)))
-        found = cut(components(links))
+    # its first node is done with each list; the others are compared where they are in several components
+    others = shared.where("a <> b").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
+    members = written(_open_lists(others, found).join(cells, "node"), "open-lists")
+    tried, partners = near.select("a", "b"), PARTNERS
+    while not members.isEmpty():
+        listed = written(_list_pairs(members, percent, partners), "list-pairs")
+        pairs = listed.where("sig is null").select("a", "b").distinct()
+        fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            links = cut(links.unionByName(_verify(fresh, known, named, percent, size)))
+            found = cut(components(links))
+        more = cut(listed.where("sig is not null").select("sig").distinct())
+        if more.isEmpty():
+            break
+        tried, partners = tried.unionByName(pairs), partners * PARTNERS_GROW
+        left = members.join(broadcast_if_small(more), "sig", "left_semi").drop("component")
+        members = written(_open_lists(left, found), "open-lists")
 
     degree = _degrees(found, known, holders.select("node", "doc_id", "n"), percent, size)
     nodes = holders.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -329,17 +340,25 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     )
 
 
-def _across(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members ``sig, node, n`` with their ``component``, of the lists that hold more than one component."""
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return placed.join(spread.select("sig"), "sig")
+def _open_lists(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members ``sig, node, n`` with their ``component``, of the lists that hold more than one; of lists of the same nodes just one."""
+    placed = members.join(broadcast_if_small(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = placed.groupBy("sig").agg(
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.count(F.lit(1)).alias("held"),
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"),
+    )
+    kept = lists.where("lo < hi").groupBy("held", "one", "two").agg(F.min("sig").alias("sig"))
+    return placed.join(kept.select("sig"), "sig")
 
 
-def _list_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of one list and two components whose sizes and bitmaps fit; a pair of many lists comes once from each task.
+def _list_pairs(members: DataFrame, percent: int, partners: int) -> DataFrame:
+    """Pairs ``a, b`` of one list and two components whose sizes and sketches fit: the ``partners`` likeliest of each member.
 
-    Lists of more than ``LIST_BLOCK`` members are dealt in blocks by their nodes, so that no task holds a long one whole.
+    A list (or two blocks of one) that holds more pairs also gives a row with its ``sig`` alone. A pair of many lists may come from
+    several tasks. Lists of more than ``LIST_BLOCK`` members are dealt in blocks by their nodes, so that no task holds a long one whole.
     """
     long = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     dealt = members.join(broadcast_if_small(cut(long)), "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -348,61 +367,112 @@ def _list_pairs(members: DataFrame, percent: int) -> DataFrame:
     seats = (
         dealt.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sig", F.least("own", other).alias("low"), F.greatest("own", other).alias("high"), "own", "node", "n", "component", *_WORDS)
+        .select("sig", F.least("own", other).alias("low"), F.greatest("own", other).alias("high"), "own", "node", "n", "component", "cells")
         .repartition(*keys)
         .sortWithinPartitions(*keys)
     )
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, emitted = np.zeros((0, 7 + len(_WORDS)), np.int64), np.zeros(0, _PAIR)
+        rows, cells, emitted = np.zeros((0, 7), np.int64), np.zeros((0, _CELLS), np.uint8), np.zeros(0, _PAIR)
         for batch in batches:
-            rows = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(batch.num_columns)], axis=1)
-            rows = np.concatenate([held, rows])
-            same = (rows[:, :3] == rows[-1, :3]).all(axis=1)  # the last list may go on in the next batch
-            held = rows[same]
-            fresh = _fitting_pairs(rows[~same], percent)
-            fresh = fresh[~np.isin(fresh, emitted)]
-            emitted = np.concatenate([emitted, fresh])[-_REMEMBERED:]
-            yield _pair_batch(fresh)
-        yield _pair_batch(_fitting_pairs(held, percent))
-
-    return seats.mapInArrow(pair, "a long, b long")
+            if not batch.num_rows:
+                continue
+            fresh = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(7)], axis=1)
+            held = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, _CELLS)
+            rows, cells = np.concatenate([rows, fresh]), np.concatenate([cells, held])
+            whole = (rows[:, :3] != rows[-1, :3]).any(axis=1)  # the last list may go on in the next batch
+            for pairs, more in _fitting_pairs(rows[whole], cells[whole], percent, partners):
+                pairs = pairs[~np.isin(pairs, emitted)]
+                emitted = np.concatenate([emitted, pairs])[-_REMEMBERED:]
+                yield _pair_batch(pairs, more)
+            rows, cells = rows[~whole], cells[~whole]
+        for pairs, more in _fitting_pairs(rows, cells, percent, partners):
+            yield _pair_batch(pairs, more)
+
+    return seats.mapInArrow(pair, "a long, b long, sig long")
 
 
 #: A pair of nodes, and how many pairs a task remembers so as not to send them again.
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
-_REMEMBERED = 1 << 20
+_REMEMBERED = 1 << 17
+
 
+def _pair_batch(pairs: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """Rows of pairs without a ``sig``, then rows of ``sig`` alone."""
+    none, gap = np.zeros(len(pairs), np.int64), np.zeros(len(more), np.int64)
+    lists = np.arange(len(pairs) + len(more)) >= len(pairs)
+    ends = [pa.array(np.concatenate([pairs[c], gap]), mask=lists) for c in ("a", "b")]
+    return pa.RecordBatch.from_arrays([*ends, pa.array(np.concatenate([none, more]), mask=~lists)], ["a", "b", "sig"])
 
-def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[c].copy()) for c in ("a", "b")], ["a", "b"])
 
+def _fitting_pairs(
+    rows: np.ndarray, cells: np.ndarray, percent: int, partners: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The likeliest pairs across components, and which lists hold more, of lists or of two blocks of one.
 
-def _fitting_pairs(rows: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs across components, of lists or of two blocks of one, from rows ``sig, low, high, own, node, n, component, bitmap``."""
-    rows = rows[np.lexsort((rows[:, 5], rows[:, 2], rows[:, 1], rows[:, 0]))]
-    own, node, n, component = rows[:, 3:7].T
-    bits = np.ascontiguousarray(rows[:, 7:]).view(np.uint64)
+    ``rows`` are ``sig, low, high, own, node, n, component``, ``cells`` their sketches. Some lists at a time are looked at.
+    """
+    if not len(rows):
+        return
+    order = np.lexsort((rows[:, 5], rows[:, 2], rows[:, 1], rows[:, 0]))
+    rows, cells = rows[order], cells[order]
+    start = np.flatnonzero(np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]))
+    size = np.diff(np.append(start, len(rows)))
+    part = np.cumsum(size * size // 2) // _LOOKED
+    edges = [*start[np.flatnonzero(np.diff(part, prepend=-1))].tolist(), len(rows)]
+    for at, to in zip(edges[:-1], edges[1:], strict=True):
+        own, held = rows[at:to], cells[at:to]
+        one, two, share = _sketched(own, held, percent)
+        likely = _likeliest(one, two, share, partners)
+        x, y = own[one[likely], 4], own[two[likely], 4]
+        pairs = np.empty(len(x), _PAIR)
+        pairs["a"], pairs["b"] = np.minimum(x, y), np.maximum(x, y)
+        yield np.unique(pairs), np.unique(own[one[~likely], 0])
+
+
+def _sketched(rows: np.ndarray, cells: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places whose sizes and sketches fit, and which share of both sets' tokens can be common."""
+    own, n, component = rows[:, 3], rows[:, 5], rows[:, 6]
+    bits = np.packbits(cells > 0, axis=1).view(np.uint64)
+    full = (cells == 255).any(axis=1)  # counts may be higher
     mixed = rows[:, 1] != rows[:, 2]
-    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(rows)), bool), (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]))
+    start = np.flatnonzero(np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]))
     end = np.repeat(np.append(start[1:], len(rows)), np.diff(np.append(start, len(rows))))
-    out, at, gap = [np.zeros(0, _PAIR)], np.arange(len(rows)), 1
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    at, gap = np.arange(len(rows)), 1
     while True:
         at = at[at + gap < end[at]]
         at = at[100 * n[at] >= percent * n[at + gap]]  # sizes ascend: no later partner fits either
         if not len(at):
-            return np.unique(np.concatenate(out))
-        one = at[(component[at] != component[at + gap]) & ~(mixed[at] & (own[at] == own[at + gap]))]
-        two = one + gap
-        here = np.bitwise_count(bits[one] & ~bits[two]).sum(axis=1, dtype=np.int64)
-        there = np.bitwise_count(bits[two] & ~bits[one]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(n[one] - here, n[two] - there)  # tokens that both can have
-        fits = (100 + percent) * most >= percent * (n[one] + n[two])
-        made = np.empty(int(fits.sum()), _PAIR)
-        x, y = node[one[fits]], node[two[fits]]
-        made["a"], made["b"] = np.minimum(x, y), np.maximum(x, y)
-        out.append(made)
+            break
+        near = at[(component[at] != component[at + gap]) & ~(mixed[at] & (own[at] == own[at + gap]))]
+        for k in range(0, len(near), _SKETCHED):
+            one = near[k : k + _SKETCHED]
+            two = one + gap
+            here = np.bitwise_count(bits[one] & ~bits[two]).sum(axis=1, dtype=np.int64)
+            there = np.bitwise_count(bits[two] & ~bits[one]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n[one] - here, n[two] - there)  # tokens that both can have
+            fits = (100 + percent) * most >= percent * (n[one] + n[two])
+            one, two, most = one[fits], two[fits], most[fits]
+            both = np.minimum(cells[one], cells[two]).sum(axis=1, dtype=np.int64)
+            most = np.where(full[one] | full[two], most, both)
+            fits = (100 + percent) * most >= percent * (n[one] + n[two])
+            one, two = one[fits], two[fits]
+            out.append((one, two, most[fits] / (n[one] + n[two])))
         gap += 1
+    one, two, share = (np.concatenate(c) for c in zip(*out, strict=True))
+    return one, two, share
+
+
+def _likeliest(one: np.ndarray, two: np.ndarray, share: np.ndarray, partners: int) -> np.ndarray:
+    """Which pairs are among the ``partners`` likeliest of one of their places."""
+    ends = np.concatenate([one, two])
+    order = np.lexsort((-np.concatenate([share, share]), ends))
+    begin = np.flatnonzero(np.diff(ends[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    keep = np.zeros(len(one), bool)
+    keep[order[rank < partners] % max(1, len(one))] = True
+    return keep
 
 
 def _possible(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
@@ -427,11 +497,10 @@ def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, holders: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes that reach the similarity.
+    """The pairs ``a, b`` of nodes that reach the similarity; ``pairs`` were :func:`cut`.
 
     Each text travels once to every group that compares it: the members of an ``a``, in parts of about ``VERIFIED``, with ``a`` in front.
     """
-    pairs = cut(pairs)
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFIED).cast("int").alias("parts"))
     split = broadcast_if_small(cut(groups.where("parts > 1")))
     heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))

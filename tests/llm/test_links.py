@@ -49,3 +49,54 @@ def test_shared_tokens_of_dense_and_thin_blocks():
         left, right = ([np.unique(draw.integers(0, tokens, draw.integers(1, most)).astype(np.uint64)) for _ in range(n)] for n in (rows, cols))
         want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
         assert jaccard._common(left, right).tolist() == want
+
+
+def test_a_large_group_of_near_copies_is_not_verified_pair_by_pair(spark, monkeypatch, tmp_path):
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    verify, sent = jaccard._verify, []
+
+    def counted(pairs, *rest):
+        sent.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    draw = np.random.default_rng(11)
+    rows = []
+    for i in range(500):  # those with one other word link with one another, those with two only by chance
+        words = [f"g{k}" for k in range(120)]
+        for k in draw.choice(120, int(draw.integers(1, 3)), replace=False):
+            words[k] = f"y{draw.integers(1000)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.n_links for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(all_links(rows))
+    assert sum(got.values()) > 50_000
+    assert sum(sent) < 8_000
+
+
+@pytest.mark.parametrize("grow", [2, 8])
+def test_few_partners_at_a_time_lose_no_link(spark, monkeypatch, tmp_path, grow):
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 9)
+    monkeypatch.setattr(jaccard, "PARTNERS", 1)
+    monkeypatch.setattr(jaccard, "PARTNERS_GROW", grow)
+    draw = np.random.default_rng(5)
+    rows = []
+    for i in range(150):  # most pairs are just below or above the threshold
+        words = [f"g{k}" for k in range(100)]
+        for k in draw.choice(100, int(draw.integers(1, 5)), replace=False):
+            words[k] = f"y{draw.integers(30)}"
+        rows.append((i, " ".join(words)))
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted(all_links(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute.groups(rows))
+
+
+def test_likeliest_pairs_of_each_place():
+    one, two = np.array([0, 0, 0, 1, 5]), np.array([1, 2, 3, 2, 6])
+    share = np.array([0.5, 0.45, 0.4, 0.49, 0.41])
+    assert jaccard._likeliest(one, two, share, 1).tolist() == [True, False, True, True, True]
+    assert jaccard._likeliest(one, two, share, 3).all()
+    assert jaccard._likeliest(one[:0], two[:0], share[:0], 1).tolist() == []
