@@ -61,9 +61,8 @@ def context_table(docs: DataFrame) -> np.ndarray:
                     same = doc[:-step] == doc[step:]
                     a, b = a[same], b[same]
                     for word, near in ((a, b), (b, a)):
-                        for s in range(SIGNS):
-                            cell = word * DIMENSIONS + which[near, s]
-                            table += np.bincount(cell, sign[near, s], WORDS * DIMENSIONS)
+                        cell = word[:, None] * DIMENSIONS + which[near]
+                        table += np.bincount(cell.ravel(), sign[near].ravel(), WORDS * DIMENSIONS)
         slices = table.reshape(-1, _SLICE * DIMENSIONS)
         full = np.flatnonzero(slices.any(axis=1))
         for k in full.tolist():
