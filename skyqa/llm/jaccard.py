@@ -10,9 +10,9 @@ either a rare token or two frequent tokens of one class. Candidates are verified
 Texts with equal sets are one node. In each list the candidates are first compared with the smallest node only. Where all
 other members end up in one component, no other pair can change it. The members of the other lists are compared block by block, but
 for pairs that are in one component already; of lists with the same members one is enough. Before any text is sent, sketches of the sets
-(how many tokens fall into each hash cell) show for most pairs that too few tokens can be shared. In a list of many similar
-sets each is first verified with its few likeliest partners; lists that hold more go on, with more partners each time,
-until all members are in one component or no pair is left.
+(how many tokens fall into each hash cell) show for most pairs that too few tokens can be shared. Of the pairs left in a list
+those are verified first that connect its components, the likeliest ones that do; lists that hold more go on, with some partners of each
+component and more each time, until all members are in one component or no pair is left.
 
 Links never leave a component. Once these are known, all pairs of nodes inside each are compared and counted, block by block.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyqa.functions.frames import BROADCAST_ROWS, broadcast_if_small, cut, scratch_path
+from skyqa.functions.frames import BROADCAST_ROWS, broadcast_if_small, scratch_path
 from skyqa.llm.components import components
 from skyqa.llm.tables import written
 from skyqa.llm.words import SPACED, as_long, find_words, grams, mix, same_text, text_blocks
@@ -42,7 +42,8 @@ COUNTED, VERIFIED = 4_000_000, 256
 BLOCK_NODES, BLOCK_TOKENS = 2048, 2_000_000
 #: Members of a block of a long list; every block of a list meets every other once.
 LIST_BLOCK = 1024
-#: Partners of each member of a list that are verified in the first pass, and how many times more in each further one.
+#: Partners of each component in a list that are verified in a pass, and how many times more in each further one. The first pass
+#: verifies only pairs that connect components.
 PARTNERS, PARTNERS_GROW = 4, 8
 #: Hash cells whose tokens a sketch counts; a multiple of 64.
 _CELLS = 512
@@ -223,7 +224,7 @@ def _count_frequent(texts: DataFrame, total: int, size: int) -> np.ndarray:
                 )
 
     dealt = texts.mapInArrow(deal, "bucket int, tokens binary").repartition(buckets, "bucket")
-    found = cut(dealt.mapInArrow(count, "level int, n long, tokens binary"))
+    found = written(dealt.mapInArrow(count, "level int, n long, tokens binary"), "frequent")
     kept, held = [], 0
     for r in found.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
         held += r.n
@@ -297,30 +298,31 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
         found.select(*row).write.option("compression", "zstd").parquet(f"{path}/{kind}")
     shared = spark.read.parquet(f"{path}/singles").unionByName(spark.read.parquet(f"{path}/pairs"))
 
-    near = cut(shared.where("a <> b").select("a", "a_n", "b", "b_n").distinct())
+    near = written(shared.where("a <> b").select("a", "a_n", "b", "b_n").distinct(), "near")
     holders = sets.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")
     )
     cells = sets.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.max("cells").alias("cells"))
     named = holders.select("node", "doc_id")
-    links = cut(_verify(cut(_possible(_fitting(near, percent), cells, percent)), known, named, percent, size))
-    found = cut(components(links))
+    possible = written(_possible(_fitting(near, percent), cells, percent), "possible")
+    links = written(_verify(possible, known, named, percent, size), "links")
+    found = components(links)
 
     # its first node is done with each list; the others are compared where they are in several components
     others = shared.where("a <> b").select("sig", F.col("b").alias("node"), F.col("b_n").alias("n")).distinct()
     members = written(_open_lists(others, found).join(cells, "node"), "open-lists")
-    tried, partners = near.select("a", "b"), PARTNERS
+    tried, partners, first = near.select("a", "b"), PARTNERS, True
     while not members.isEmpty():
-        listed = written(_list_pairs(members, percent, partners), "list-pairs")
+        listed = written(_list_pairs(members, percent, 0 if first else partners), "list-pairs")
         pairs = listed.where("sig is null").select("a", "b").distinct()
-        fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            links = cut(links.unionByName(_verify(fresh, known, named, percent, size)))
-            found = cut(components(links))
-        more = cut(listed.where("sig is not null").select("sig").distinct())
+        fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "fresh")
+        linked = None if fresh.isEmpty() else written(_verify(fresh, known, named, percent, size), "links")
+        if linked is not None and not linked.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked))
+        more = written(listed.where("sig is not null").select("sig").distinct(), "more")
         if more.isEmpty():
             break
-        tried, partners = tried.unionByName(pairs), partners * PARTNERS_GROW
+        tried, partners, first = tried.unionByName(pairs), partners * PARTNERS_GROW, False
         left = members.join(broadcast_if_small(more), "sig", "left_semi").drop("component")
         members = written(_open_lists(left, found), "open-lists")
 
@@ -355,13 +357,14 @@ def _open_lists(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _list_pairs(members: DataFrame, percent: int, partners: int) -> DataFrame:
-    """Pairs ``a, b`` of one list and two components whose sizes and sketches fit: the ``partners`` likeliest of each member.
+    """Pairs ``a, b`` of one list and two components whose sizes and sketches fit: the ``partners`` likeliest of each component there.
 
+    Of no ``partners``, the likeliest pairs that connect all components of a list as far as they can be: fewer than it has components.
     A list (or two blocks of one) that holds more pairs also gives a row with its ``sig`` alone. A pair of many lists may come from
     several tasks. Lists of more than ``LIST_BLOCK`` members are dealt in blocks by their nodes, so that no task holds a long one whole.
     """
     long = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = members.join(broadcast_if_small(cut(long)), "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = members.join(broadcast_if_small(written(long, "long-lists")), "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("other")
     keys = ["sig", "low", "high"]
     seats = (
@@ -423,7 +426,8 @@ def _fitting_pairs(
     for at, to in zip(edges[:-1], edges[1:], strict=True):
         own, held = rows[at:to], cells[at:to]
         one, two, share = _sketched(own, held, percent)
-        likely = _likeliest(one, two, share, partners)
+        sides = _sides(own, one, two)
+        likely = _likeliest(*sides, share, partners) if partners else _connecting(*sides, share)
         x, y = own[one[likely], 4], own[two[likely], 4]
         pairs = np.empty(len(x), _PAIR)
         pairs["a"], pairs["b"] = np.minimum(x, y), np.maximum(x, y)
@@ -464,8 +468,17 @@ def _sketched(rows: np.ndarray, cells: np.ndarray, percent: int) -> tuple[np.nda
     return one, two, share
 
 
+def _sides(rows: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of places, a number for the component of each within its list: members of one component ask for partners together."""
+    order = np.lexsort((rows[:, 6], rows[:, 2], rows[:, 1], rows[:, 0]))
+    keys = rows[order][:, [0, 1, 2, 6]]
+    number = np.empty(len(rows), np.int64)
+    number[order] = np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
+    return number[one], number[two]
+
+
 def _likeliest(one: np.ndarray, two: np.ndarray, share: np.ndarray, partners: int) -> np.ndarray:
-    """Which pairs are among the ``partners`` likeliest of one of their places."""
+    """Which pairs are among the ``partners`` likeliest of one of their sides, whose numbers are ``one`` and ``two``."""
     ends = np.concatenate([one, two])
     order = np.lexsort((-np.concatenate([share, share]), ends))
     begin = np.flatnonzero(np.diff(ends[order], prepend=-1))
@@ -475,6 +488,32 @@ def _likeliest(one: np.ndarray, two: np.ndarray, share: np.ndarray, partners: in
     return keep
 
 
+def _connecting(one: np.ndarray, two: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Which pairs connect all sides that any pairs connect, the likeliest ones that do: a forest, so fewer pairs than sides."""
+    keep = np.zeros(len(one), bool)
+    order = np.lexsort((two, one, -share))
+    one, two, open_ = one[order], two[order], np.arange(len(order))
+    root = np.arange(max(one.max(initial=-1), two.max(initial=-1)) + 1)
+    while len(open_):
+        best = np.full(len(root), len(order))  # the likeliest pair of each tree
+        for side in (one, two):
+            of = np.full(len(root), len(order))
+            of[root[side[open_]][::-1]] = open_[::-1]
+            best = np.minimum(best, of)
+        tree = np.flatnonzero(best < len(order))
+        a, b = root[one[best[tree]]], root[two[best[tree]]]
+        keep[order[best[tree]]] = True
+        to = np.arange(len(root))
+        to[tree] = np.where(a == tree, b, a)
+        chose = tree[(to[to[tree]] == tree) & (tree < to[tree])]  # of two trees that chose one pair, one stays
+        to[chose] = chose
+        while (to[to] != to).any():
+            to = to[to]
+        root = to[root]
+        open_ = open_[root[one[open_]] != root[two[open_]]]
+    return keep
+
+
 def _possible(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     """The pairs whose counts of tokens by cell leave enough that both can have."""
     a, b = (cells.select(F.col("node").alias(c), F.col("cells").alias(f"{c}_cells")) for c in ("a", "b"))
@@ -497,16 +536,16 @@ def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, holders: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes that reach the similarity; ``pairs`` were :func:`cut`.
+    """The pairs ``a, b`` of nodes that reach the similarity; ``pairs`` were :func:`written`.
 
     Each text travels once to every group that compares it: the members of an ``a``, in parts of about ``VERIFIED``, with ``a`` in front.
     """
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFIED).cast("int").alias("parts"))
-    split = broadcast_if_small(cut(groups.where("parts > 1")))
+    split = broadcast_if_small(written(groups.where("parts > 1"), "parts"))
     heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
     parts = F.coalesce("parts", F.lit(1))
     members = pairs.join(split, "a", "left").select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), F.col("b").alias("node"))
-    seats = cut(heads.unionByName(members).join(holders, "node"))
+    seats = written(heads.unionByName(members).join(holders, "node"), "seats")
     texts = texts.join(broadcast_if_small(seats.select("doc_id").distinct()), "doc_id", "left_semi")  # most stay where they are
     sent = (
         texts.join(seats, "doc_id")
@@ -548,11 +587,11 @@ def _degrees(found: DataFrame, texts: DataFrame, holders: DataFrame, percent: in
     All pairs inside each component are compared, in blocks: a text travels once to each block of its own component,
     so just once where the component is one block. Two nodes alone have the one link that joined them.
     """
-    placed = cut(found.join(holders, "node"))
+    placed = written(found.join(holders, "node"), "placed")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
-    sizes = broadcast_if_small(cut(placed.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), blocks.alias("blocks"))))
+    sizes = broadcast_if_small(written(placed.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), blocks.alias("blocks")), "sizes"))
     placed = placed.join(sizes, "component")
-    seats = cut(placed.where("nodes > 2").select("component", "blocks", "node", "doc_id"))
+    seats = written(placed.where("nodes > 2").select("component", "blocks", "node", "doc_id"), "seats")
     if seats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then the other texts stay where they are
         texts = texts.join(F.broadcast(seats.select("doc_id").distinct()), "doc_id", "left_semi")
     own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("other")

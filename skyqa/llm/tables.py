@@ -23,4 +23,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -100,3 +100,36 @@ def test_likeliest_pairs_of_each_place():
     assert jaccard._likeliest(one, two, share, 1).tolist() == [True, False, True, True, True]
     assert jaccard._likeliest(one, two, share, 3).all()
     assert jaccard._likeliest(one[:0], two[:0], share[:0], 1).tolist() == []
+
+
+def test_a_component_asks_for_partners_once():
+    draw = np.random.default_rng(13)
+    cells = np.tile(draw.integers(0, 3, jaccard._CELLS), (33, 1))
+    cells[np.arange(33), draw.integers(0, jaccard._CELLS, 33)] += 1
+    rows = np.zeros((33, 7), np.int64)  # one list of 30 members of one component and three others
+    rows[:, 4], rows[:, 5], rows[:, 6] = np.arange(33), cells.sum(axis=1), np.maximum(np.arange(33) - 29, 0)
+    for partners, most in ((0, 3), (4, 16)):
+        (pairs, more), = jaccard._fitting_pairs(rows, cells.astype(np.uint8), 80, partners)
+        assert 3 <= len(pairs) <= most
+        assert more.tolist() == [0]
+    (pairs, more), = jaccard._fitting_pairs(rows, cells.astype(np.uint8), 80, 1000)
+    assert len(pairs) == 30 * 3 + 3 and more.tolist() == []
+
+
+def test_connecting_pairs_are_the_likeliest_forest():
+    one, two = np.array([0, 0, 1, 3, 4, 3]), np.array([1, 2, 2, 4, 5, 5])
+    share = np.array([0.4, 0.45, 0.5, 0.41, 0.41, 0.41])
+    assert jaccard._connecting(one, two, share).tolist() == [False, True, True, True, False, True]
+    assert jaccard._connecting(one[:0], two[:0], share[:0]).tolist() == []
+    draw = np.random.default_rng(1)
+    for sides, pairs in ((40, 300), (200, 150)):
+        one, two = np.sort(draw.integers(0, sides, (2, pairs)), axis=0)
+        one, two = one[one != two], two[one != two]
+        share = draw.integers(1, 20, len(one)) / 40
+        root, kept = list(range(sides)), []
+        for k in np.lexsort((two, one, -share)).tolist():  # the likeliest first, unless connected already
+            a, b = root[one[k]], root[two[k]]
+            if a != b:
+                root = [a if r == b else r for r in root]
+                kept.append(k)
+        assert np.flatnonzero(jaccard._connecting(one, two, share)).tolist() == sorted(kept)
