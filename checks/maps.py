@@ -390,5 +390,5 @@ def _(spark, sf):
     collections = table(spark, sf, "supplier").groupBy(F.expr("s_suppkey div 50")).agg(F.collect_list(feature).alias("features"))
     collections.select(F.lit("FeatureCollection").alias("type"), "features").write.json(path)
     outlines = read_geojson(spark, path, {"polygon": "int"}, one_document=False, holes=True).drop("feature", "part")
-    found = points_in_polygons(catalogue(spark, sf), outlines)
-    return rounded(found.groupBy("polygon", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("flux").alias("flux")), 2)
+    found = points_in_polygons(catalogue(spark, sf), outlines, by=["band"], sums=["flux"])
+    return rounded(found.groupBy("polygon", "band").agg(F.sum("n").alias("n"), F.sum("flux").alias("flux")), 2)

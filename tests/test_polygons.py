@@ -119,3 +119,20 @@ def test_geojson_with_holes(spark, tmp_path):
     points = spark.createDataFrame([(1, 7.8, 3.4), (2, 4.0, 1.0)], "point int, ra double, dec double")
     found = {(r.point, r.n, r.part) for r in points_in_polygons(points, got.drop("feature")).collect()}
     assert found == {(1, "b", 0), (2, "a", 0), (2, "b", 0), (2, "b", 1)}
+
+
+def test_sums_by_cell_equal_those_of_the_pairs(spark, shapes):
+    draw = random.Random(5)
+    circle = [(150 + 7 * math.cos(t / 60 * math.tau), 3 + 5 * math.sin(t / 60 * math.tau)) for t in range(60)]  # cells with many edges
+    many = shapes.unionByName(spark.createDataFrame([(30, ring(circle), None), (31, ring([(-9, -60), (300, -60), (300, 60), (-9, 60)]), None)], SHAPE))
+    places = [(draw.uniform(0, 360), draw.uniform(-65, 65)) for _ in range(3000)] + [(draw.uniform(0, 25), draw.uniform(-6, 14)) for _ in range(3000)]
+    places += [(draw.uniform(142, 158), draw.uniform(-3, 9)) for _ in range(1500)] + [(200 + draw.uniform(0, 0.003), 1 + draw.uniform(0, 0.004)) for _ in range(300)]
+    rows = [(draw.choice(["A", "B", None]), draw.choice([1.0, 2.5, None]), x, y) for x, y in places] + [("A", 1.0, None, 2.0), ("B", 1.0, math.nan, 2.0)]
+    points = spark.createDataFrame(rows, "band string, flux double, ra double, dec double")
+    pairs = points_in_polygons(points, many).groupBy("id", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("flux").alias("flux"))
+    key = lambda r: (r.id, r.band or "")
+    for cells in (16, 2):  # without a finer aim too
+        sums = points_in_polygons(points, many, cells=cells, by=["band"], sums=["flux"]).select("id", "band", "n", "flux")
+        assert sorted(sums.collect(), key=key) == sorted(pairs.collect(), key=key)
+    assert pairs.count() > 20 and points_in_polygons(points.limit(0), many, by=["band"]).isEmpty()
+    assert points_in_polygons(points, many.limit(0), by=["band"], sums=["flux"]).isEmpty()
