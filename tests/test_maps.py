@@ -13,6 +13,7 @@ from skyqa.operators.raster import (
     sky_raster,
     sky_raster_multi,
 )
+from skyqa.operators import tracts
 from skyqa.operators.tracts import (
     map_extent,
     points_in_tracts,
@@ -244,3 +245,28 @@ def test_keys_are_normalised_by_themselves(spark):
     robust = visit_normalized(df, ["m"], "robust", keys=["k"]).collect()
     got = {(r.k, r.visit): r["mean"] for r in robust}
     assert got == {("a", 1): -0.5, ("a", 2): 1.0, ("b", 1): -1.0, ("b", 2): 1.0, (None, 1): 0.0}
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_large_maps_and_taps_without_pairs(spark, monkeypatch, rounds):
+    rng = np.random.default_rng(8)
+    boxes = [(i % 140 if i % 9 else None, float(x), float(x + w if x + w < 360 else x + w - 360), float(y), float(y + w / 3)) for i, (x, y, w) in enumerate(rng.uniform((0, -60, 0.5), (360, 60, 30), (150, 3)))]
+    boxes += [(400, 359.5, 0.5, -1.0, 1.0), (401, 358.0, 0.0, 0.0, 5.0), (402, 10.0, 10.001, 0.0, 0.001), (403, 20.0, None, 0.0, 1.0), (404, 30.0, 31.0, 80.0, 81.0)]
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.r_[rng.uniform((0, -70), (360, 70), (60, 2)), rng.uniform((49.9, 9.9), (50.1, 10.1), (400, 2))])]
+    pts += [(500, 0.0, 0.0), (501, 359.9, 0.0), (502, 10.0005, 0.0005), (503, None, 1.0), (504, float("nan"), 1.0), (505, 31.0, 80.5), (506, 30.0, 81.0)]
+    skymap = spark.createDataFrame(boxes, "tract int, x0 double, x1 double, y0 double, y1 double")
+    df = spark.createDataFrame(pts, "id int, x double, y double")
+
+    def holds(x0, x1, x):
+        return x0 <= x < x1 if x0 < x1 else x >= x0 or x < x1
+
+    placed = [p for p in pts if p[1] is not None and p[1] == p[1]]
+    want = [(i, t) for i, x, y in placed for t, x0, x1, y0, y1 in boxes if x1 is not None and holds(x0, x1, x) and y0 <= y < y1]
+    key = lambda r: (r[0], -1 if r[1] is None else r[1])
+    monkeypatch.setattr(tracts, "BROADCAST_ROWS", 0)
+    assert sorted(((r.id, r.tract) for r in points_in_tracts(df, skymap, "x", "y").collect()), key=key) == sorted(want, key=key)
+    monkeypatch.setattr(tracts, "points_in_tracts", None)
+    monkeypatch.setattr(tracts, "_ROUNDS", rounds)
+    got = [r.tract for r in tracts_at(df, skymap).collect()]
+    assert len(got) == len(set(got)) and set(got) == {t for _, t in want} and None in got and 404 not in got
+    assert tracts_at(df.limit(0), skymap).isEmpty() and tracts_at(df, skymap.limit(0)).isEmpty()
