@@ -92,7 +92,8 @@ def points_in_tracts(
         (named(x) >= F.col("__x0")) & (named(x) < F.col("__x1"))
         & (named(y) >= F.col("__y0")) & (named(y) < F.col("__y1"))
     )
-    found = placed.join(F.broadcast(laid) if small else laid, _CELL).where(inside)
+    # Spark would broadcast by the size of the map as stored, before boxes are laid on cells
+    found = placed.join(F.broadcast(laid) if small else laid.hint("merge"), _CELL).where(inside)
     return found.drop(*_CELL, "__x0", "__x1", "__y0", "__y1")
 
 
@@ -100,7 +101,7 @@ def points_in_tracts(
 _TOUCHED = 4
 _FINEST = -12
 # halvings of the cells on large maps, of a round that looks for taken boxes, and how many such rounds there are
-_HALVINGS = 0
+_HALVINGS = 3
 _STEP = 2
 _ROUNDS = 3
 _CELL = ["__lx", "__ly", "__cx", "__cy"]
