@@ -270,3 +270,12 @@ def test_large_maps_and_taps_without_pairs(spark, monkeypatch, rounds):
     got = [r.tract for r in tracts_at(df, skymap).collect()]
     assert len(got) == len(set(got)) and set(got) == {t for _, t in want} and None in got and 404 not in got
     assert tracts_at(df.limit(0), skymap).isEmpty() and tracts_at(df, skymap.limit(0)).isEmpty()
+
+
+def test_polygons_of_a_large_map_without_pairs(spark, monkeypatch):
+    skymap = spark.range(400).selectExpr("cast(id as int) tract", "id % 20 * 18.0 x0", "id % 20 * 18.0 + 9 x1", "id div 20 * 4.0 y0", "id div 20 * 4.0 + 3 y1")
+    df = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (10.0, 1.0), (19.0, 5.0), (359.0, 90.0)], "x double, y double")
+    monkeypatch.setattr(tracts, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tracts, "points_in_tracts", None)
+    got = polygons_of(tracts_at(df, skymap), skymap.select("tract", "x0"))
+    assert sorted((r.tract, r.x0) for r in got.collect()) == [(0, 0.0), (21, 18.0)]
