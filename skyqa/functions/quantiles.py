@@ -81,6 +81,14 @@ def describe_columns(
     )
 
 
+def describe_values(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """:func:`describe_columns` of a frame that is cheap to read twice and has large groups: they are never brought together."""
+    probs = [float(p) for p in probs]
+    return _describe_split(df, keys, columns, probs, None, max_group_rows) if probs else _moments(df, keys, columns, None).withColumn("q", no_quantiles(probs))
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],

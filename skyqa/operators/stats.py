@@ -16,6 +16,7 @@ from skyqa.functions.quantiles import (
     MAX_GROUP_ROWS,
     array_quantiles,
     describe_columns,
+    describe_values,
     no_quantiles,
     quantiles,
 )
@@ -107,8 +108,9 @@ def describe_sets(
     """Several statistics tables of one table from one pass over its rows, and one before it that counts.
 
     The keys of the sets are nested: each set's keys are among those of the next larger one. If all groups are small,
-    rows are exchanged once by the smallest set of keys; finer groups become arrays, and coarser ones join the arrays of theirs. Otherwise, and
-    if a set has no keys, the counting pass makes :func:`key_summaries` instead, from which one more pass finds the quantiles of all
+    rows are exchanged once by the smallest set of keys; finer groups become arrays, and coarser ones join the arrays of theirs. If only the groups of
+    some sets are small, these become arrays, and the values of the other sets are written beside them and read again for summaries and quantiles.
+    Otherwise, the counting pass makes :func:`key_summaries` instead, from which one more pass finds the quantiles of all
     sets; with ``summaries`` kept by the finest keys there is only that pass.
     """
     order = sorted(sets, key=lambda n: len(sets[n].keys))
@@ -120,11 +122,12 @@ def describe_sets(
     pairs = list(dict.fromkeys((masks.index(s.filled(df)), c) for s in sets.values() for c in s.columns))
     if summaries is not None:
         return _sets_refined(df, sets, _kept(df, sets, summaries, finest), finest, max_group_rows)
-    if coarsest:
+    if finest:
         sizes = cut(df.groupBy(*[named(k) for k in finest]).agg(F.count(F.lit(1)).alias("n")))
-        whole = sizes.groupBy(*[named(k) for k in coarsest]).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
-        if whole * len(pairs) <= array_cells and whole <= max_group_rows:
-            return _sets_as_arrays(df, sets, masks, pairs)
+        for keys in dict.fromkeys(tuple(sets[n].keys) for n in order if sets[n].keys):
+            whole = sizes.groupBy(*[named(k) for k in keys]).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+            if whole * len(pairs) <= array_cells and whole <= max_group_rows:
+                return _sets_as_arrays(df, sets, masks, pairs, len(keys), max_group_rows)
     held = cut(_masked_summaries(df, finest, masks, pairs))
     own = {name: held.where(F.col("mask") == masks.index(s.filled(df))) for name, s in sets.items()}
     return _sets_refined(df, sets, own, finest, max_group_rows)
@@ -167,10 +170,14 @@ def _sets_refined(
 
 
 def _sets_as_arrays(
-    df: DataFrame, sets: Mapping[str, KeySet], masks: Sequence[tuple[str, ...]], pairs: Sequence[tuple[int, str]]
+    df: DataFrame, sets: Mapping[str, KeySet], masks: Sequence[tuple[str, ...]], pairs: Sequence[tuple[int, str]], fewest: int, limit: int
 ) -> dict[str, DataFrame]:
-    """One exchange by the coarsest keys; groups of a set are arrays joined from those of the next finer set."""
-    levels = sorted({tuple(s.keys) for s in sets.values()}, key=len, reverse=True)
+    """One exchange by the coarsest keys, ``fewest`` or more; groups of a set are arrays joined from those of the next finer set.
+
+    Sets of fewer keys have groups too large for arrays: their values leave the last level as they are, and are read again.
+    """
+    large = {name: s for name, s in sets.items() if len(s.keys) < fewest}
+    levels = sorted({tuple(s.keys) for s in sets.values() if len(s.keys) >= fewest}, key=len, reverse=True)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     ids = [named(k) for k in levels[0]]
     flagged = df.select("*", *[is_complete(df, m).alias(f"__m{i}") for i, m in enumerate(masks)])
@@ -194,11 +201,24 @@ def _sets_as_arrays(
                 found.append(_array_rows(name, key, sorted(s.columns), own, s.percentiles))
         held = held.withColumn("__out", F.concat(*[F.col("__out")] * (k > 0), *found))
     # what is found travels along to the last level, so that there is one plan and one exchange
-    whole = cut(held.select(F.inline("__out")))
-    return {
+    out = {}
+    if large:
+        ids = [named(k) for k in levels[-1]]
+        again = list(dict.fromkeys(pairs.index((masks.index(s.filled(df)), c)) for s in large.values() for c in s.columns))
+        kept = cut(held.select(*ids, "__out", *[f"__v{i}" for i in again]))
+        whole = kept.select(F.inline("__out"))
+        for name, s in large.items():
+            values = F.arrays_zip(*[F.col(f"__v{pairs.index((masks.index(s.filled(df)), c))}").alias(c) for c in s.columns])
+            raw = kept.select(*[named(k) for k in s.keys], F.inline_outer(values))
+            long = describe_values(raw, s.keys, sorted(s.columns), s.percentiles, limit)
+            out[name] = statistics_rows(long, s.keys, sorted(s.columns), s.percentiles)
+    else:
+        whole = cut(held.select(F.inline("__out")))
+    out |= {
         name: statistics_rows(whole.where(F.col("__set") == name), s.keys, sorted(s.columns), s.percentiles)
-        for name, s in sets.items()
-    }
+        for name, s in sets.items() if name not in large
+    }
+    return {name: out[name] for name in sets}
 
 
 def _array_rows(name: str, ids: Sequence[Column], columns: Sequence[str], numbers: Sequence[int], probs: Sequence[float]) -> Column:

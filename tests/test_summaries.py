@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from skyqa.functions.frames import cut
 from skyqa.functions.quantiles import describe_columns
 from skyqa.functions.summaries import MARGIN, WHOLE_GROUP, Request, merged, refine, sample_std, summarise
+from skyqa.operators import stats
 from skyqa.operators.stats import KeySet, colour_range, describe_by_key, describe_sets, dimension_ranges, key_summaries
 
 
@@ -188,3 +189,19 @@ def test_scans_of_the_queries(spark, small, name, scans):
     before = input_records(spark)
     df(spark, small).collect()
     assert input_records(spark) - before <= scans * rows + 10  # a table of one row counts too
+
+
+def test_large_sets_beside_small_groups(spark, field, monkeypatch):
+    df, _ = field
+    sets = {"fine": KeySet(["band", "tract"], ["tail", "gappy"]), "band": KeySet(["band"], ["tied", "gappy"], (0.1, 0.9)), "all": KeySet([], ["tail"], (0.01, 0.99), complete=())}
+    by = df.groupBy("band", "tract").count().agg(F.max("count")).first()[0]
+    key = lambda r, n: tuple(str(x) for x in r[: n + 1])
+    summarised = []
+    real = stats._masked_summaries
+    monkeypatch.setattr(stats, "_masked_summaries", lambda *a: summarised.append(1) or real(*a))
+    got = describe_sets(df, sets, array_cells=by * 5, max_group_rows=max(by, 2000))
+    assert list(got) == list(sets) and not summarised  # no sketch for each of the small groups
+    for name, s in sets.items():
+        n = len(s.keys)
+        a, b = (sorted(t.collect(), key=lambda r: key(r, n)) for t in (got[name], describe_sets(df, {name: s})[name]))
+        assert [plain(r, n + 1) for r in a] == [close(r, n + 1) for r in b]
