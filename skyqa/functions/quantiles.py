@@ -59,12 +59,16 @@ def describe_columns(
     keys still appear (with ``count = 0`` when no other row has that key).
 
     ``summaries`` are those of the same keys, columns and condition, if they were kept: the rows
-    are then read once, and no group is brought together.
+    are then read once, and no group is brought together but small ones.
     """
     probs = [float(p) for p in probs]
     if not probs:
         return _moments(df, keys, columns, where).withColumn("q", no_quantiles(probs))
     if summaries is not None:
+        sizes = summaries.where(F.col("metric") == list(columns)[0]).select(*[named(k) for k in keys], F.col("rows").alias("__n"))
+        widest = sizes.agg(F.max("__n")).first()[0] if keys else None
+        if widest is not None and widest * len(columns) <= array_cells and widest <= max_group_rows:
+            return _describe_arrays(df, keys, columns, probs, where, sizes)
         return _describe_split(df, keys, columns, probs, where, max_group_rows, summaries)
     n_keys, n_large, widest, sizes = _group_sizes(df, keys, max_group_rows)
     if widest * len(columns) <= array_cells and widest <= max_group_rows:

@@ -76,13 +76,13 @@ def summarise(
 
 
 def merged(summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Summaries by fewer keys: counts add up, moments combine, sketches merge."""
+    """Summaries by fewer keys: counts add up, moments combine, sketches merge, all before the exchange."""
     ids = [named(k) for k in keys]
+    group = [*keys, "metric"]
     n, mean = F.col("count"), F.col("mean")
-    group = W.partitionBy(*ids, "metric")
-    whole = F.sum(n * mean).over(group) / F.nullif(F.sum(n).over(group), F.lit(0))
+    whole = summaries.groupBy(*ids, "metric").agg((F.sum(n * mean) / F.nullif(F.sum(n), F.lit(0))).alias("__mean"))
     return (
-        summaries.withColumn("__mean", whole)
+        join_on(summaries, broadcast_if_small(cut(whole)), group)
         .groupBy(*ids, "metric")
         .agg(
             F.sum("rows").alias("rows"),

@@ -172,8 +172,8 @@ def write_tables(df: DataFrame, path: str, keys: Sequence[str] = ("filter", "tab
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
-    """Write a statistics table."""
-    stats.write.mode("overwrite").parquet(path)
+    """Write a statistics table, or kept summaries: the sketches of a group repeat values, which this codec finds."""
+    stats.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def load_stats(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from skyqa.functions import quantiles
 from skyqa.functions.frames import cut
 from skyqa.functions.quantiles import describe_columns
 from skyqa.functions.summaries import MARGIN, WHOLE_GROUP, Request, merged, refine, sample_std, summarise
@@ -205,3 +206,17 @@ def test_large_sets_beside_small_groups(spark, field, monkeypatch):
         n = len(s.keys)
         a, b = (sorted(t.collect(), key=lambda r: key(r, n)) for t in (got[name], describe_sets(df, {name: s})[name]))
         assert [plain(r, n + 1) for r in a] == [close(r, n + 1) for r in b]
+
+
+def test_small_groups_with_kept_summaries_are_not_refined(spark, field, monkeypatch):
+    df, _ = field
+    keys, columns = ["band", "tract"], ["tail", "gappy"]
+    kept = cut(key_summaries(df, keys, columns))
+    want = sorted(describe_by_key(df, keys, columns).collect(), key=lambda r: tuple(map(str, r[:3])))
+    rows = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    with monkeypatch.context() as m:
+        m.setattr(quantiles, "refine", None)  # each value would be exchanged by itself
+        m.setattr(describe_columns, "__defaults__", (None, 1_000_000, rows * 2, None))
+        got = sorted(describe_by_key(df, keys, columns, summaries=kept).collect(), key=lambda r: tuple(map(str, r[:3])))
+    assert [tuple(r[:3]) for r in got] == [tuple(r[:3]) for r in want]
+    assert [plain(r, 3) for r in got] == [close(r, 3) for r in want]
